@@ -45,30 +45,29 @@ def unescape(text: Column) -> Column:
     return F.replace(text, F.lit("\\e"), F.lit("\\"))
 
 
-def jumps(messages: DataFrame) -> list[DataFrame]:
-    """Tables tree, node, up, steps, total: each node's ancestor at twice the last distance.
+def jumps(messages: DataFrame) -> tuple[list[DataFrame], DataFrame]:
+    """Ancestor tables tree, node, up at distance 1, 2, 4, ..., and the finished nodes.
 
-    steps and total are counted from the node to just below ``up``; a path that
-    has ended has a null ``up``. messages: tree, node, parent, score.
+    Only nodes whose path goes on take part in the next round. steps and total
+    count from the node to just below ``up``; a finished node's ``up`` is null
+    and they cover its path to the root. messages: tree, node, parent, score.
     """
     own = messages.select("tree", F.col("node").alias("parent"), F.lit(True).alias("known"))
     start = messages.join(own, ["tree", "parent"], "left").select(
         "tree", "node", F.when(F.col("known"), F.col("parent")).alias("up"), F.lit(1).alias("steps"), F.coalesce("score", F.lit(0.0)).alias("total")
     )
-    tables = [written(start, "jump")]
-    left = tables[0].where("up is not null").count()
-    while left:
-        t = tables[-1]
-        above = t.select("tree", F.col("node").alias("up"), F.col("up").alias("next"), F.col("steps").alias("s"), F.col("total").alias("v"))
-        t = t.join(above, ["tree", "up"], "left").select(
-            "tree", "node", F.col("next").alias("up"), (F.col("steps") + F.coalesce("s", F.lit(0))).alias("steps"), (F.col("total") + F.coalesce("v", F.lit(0.0))).alias("total")
-        )
-        tables.append(written(t, "jump"))
-        now = tables[-1].where("up is not null").count()
-        if now == left and 2 ** (len(tables) - 1) > tables[0].count():
-            break  # only cycles are left
-        left = now
-    return tables
+    table = written(start, "jump")
+    size, tables, done = table.count(), [], None
+    while True:
+        ended = table.where("up is null")
+        done = ended if done is None else done.union(ended)
+        going = table.where("up is not null")
+        if 2 ** len(tables) > size or not going.limit(1).count():
+            return tables, done  # what is left after so many rounds lies in or below cycles
+        tables.append(going)
+        above = done.union(going).select("tree", F.col("node").alias("up"), F.col("up").alias("next"), F.col("steps").alias("s"), F.col("total").alias("v"))
+        doubled = going.join(above, ["tree", "up"])
+        table = written(doubled.select("tree", "node", F.col("next").alias("up"), (F.col("steps") + F.col("s")).alias("steps"), (F.col("total") + F.col("v")).alias("total")), "jump")
 
 
 def chosen_paths(messages: DataFrame, branches: int | None = 1) -> DataFrame:
@@ -76,8 +75,8 @@ def chosen_paths(messages: DataFrame, branches: int | None = 1) -> DataFrame:
 
     A branch's score is the mean of its messages' scores. branches None: all.
     """
-    tables = jumps(messages)
-    done = tables[-1].where("up is null").select("tree", F.col("node").alias("leaf"), F.col("steps").alias("depth"), (F.col("total") / F.col("steps")).alias("branch_score"))
+    tables, done = jumps(messages)
+    done = done.select("tree", F.col("node").alias("leaf"), F.col("steps").alias("depth"), (F.col("total") / F.col("steps")).alias("branch_score"))
     parents = messages.select("tree", F.col("parent").alias("leaf")).distinct()
     leaves = done.join(parents, ["tree", "leaf"], "left_anti")
     if branches == 1:  # combined before the shuffle, however many leaves a tree has
@@ -89,8 +88,8 @@ def chosen_paths(messages: DataFrame, branches: int | None = 1) -> DataFrame:
         if branches is not None:
             leaves = leaves.where(F.col("rank") <= branches)
     members = written(leaves.select("tree", "leaf", "rank", F.col("leaf").alias("node"), "depth"), "members")
-    for k, t in enumerate(tables[:-1]):
-        up = t.where("up is not null").select("tree", "node", "up")
+    for k, t in enumerate(tables):
+        up = t.select("tree", "node", "up")
         above = members.join(up, ["tree", "node"]).select("tree", "leaf", "rank", F.col("up").alias("node"), (F.col("depth") - 2**k).alias("depth"))
         members = written(members.union(above), "members")
     return members
