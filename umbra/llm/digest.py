@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import partitions_for, small_batches, written
+from ._shared import partitions_for, placed_by_range, small_batches, written
 
 BUCKETS = 128
 PIECE = 1 << 20
@@ -88,12 +88,7 @@ def with_next(docs: DataFrame, n_parts: int | None = None) -> DataFrame:
     small_batches(spark)
     n_parts = n_parts or partitions_for(docs)
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    cuts = rows.stat.approxQuantile("doc_id", [i / n_parts for i in range(1, n_parts)], 0.25 / n_parts) if n_parts > 1 else []
-    cuts = sorted({int(c) for c in cuts})
-    part = F.lit(0)
-    if cuts:
-        part = F.when(F.col("doc_id").isNull(), 0).otherwise(F.array_size(F.filter(F.array(*map(F.lit, cuts)), lambda c: c <= F.col("doc_id"))))
-    placed = rows.withColumn("part", part.cast("int"))
+    placed = placed_by_range(rows, "doc_id", n_parts)
     firsts = sorted((r.part, r.id) for r in placed.groupBy("part").agg(F.min_by("doc_id", F.struct(F.col("doc_id").isNotNull(), "doc_id")).alias("id")).collect())
     if firsts:
         # (part, its first id) -> the part that reads that row last
