@@ -180,7 +180,8 @@ def keep_one(docs: DataFrame, size: int = 4, radius: int = 4) -> DataFrame:
     fps = written(fingerprints(rows, size, "row.text", ids), "fps")
     classed = classes(fps.select("uid", "doc_id", "fp"), radius)
     first = classed.groupBy("class_fp").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "uid")).alias("m"))
-    return rows.join(written(first.select("m.uid"), "kept"), "uid", "left_semi").select("row.*")
+    kept = written(first.select("m.uid"), "kept")  # it grows with the rows: never broadcast
+    return rows.join(kept.hint("merge"), "uid", "left_semi").select("row.*")
 
 
 def hex_of(fp: Column) -> Column:
