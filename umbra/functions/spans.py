@@ -7,7 +7,7 @@ row a segment, without a shuffle.
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 SPAN = "struct<entity_type:string,start:int,end:int,text:string,engine:string,rule_id:string,priority:int,ord:int>"
@@ -19,6 +19,17 @@ def none() -> Column:
     return F.array().cast(SPANS)
 
 
+def pinned(df: DataFrame, **columns: Column) -> DataFrame:
+    """Adds (or replaces) columns that are computed once a row, however often they are read.
+
+    The optimizer merges projections and so copies an expression to each of its
+    uses; it doesn't reach through a generator. One row in gives one row out.
+    """
+    names = [c for c in df.columns if c not in columns]
+    one = F.struct(*(c.alias(n) for n, c in columns.items()))
+    return df.select(*names, F.explode(F.array(one)).alias("_pin")).select(*names, *(F.col(f"_pin.{n}").alias(n) for n in columns))
+
+
 def found(text: Column, pattern: str) -> Column:
     """array<struct(start, end, text)> of a pattern's matches.
 

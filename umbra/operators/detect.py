@@ -37,9 +37,9 @@ def rule_spans(text: Column, rules: list[Rule] | None = None, digits: Column | N
 
 
 def with_rule_spans(segments: DataFrame, rules: list[Rule] | None = None, text: str = "text") -> DataFrame:
-    """Adds ``spans``. The digit test is its own projection, shared by the digit rules."""
-    out = segments.withColumn("_digits", F.rlike(F.col(text), F.lit(_DIGITS)))
-    return out.withColumn("spans", F.coalesce(rule_spans(F.col(text), rules, F.col("_digits")), S.none())).drop("_digits")
+    """Adds ``spans``. The digit test is shared by the digit rules."""
+    out = S.pinned(segments, _digits=F.rlike(F.col(text), F.lit(_DIGITS)))
+    return S.pinned(out, spans=F.coalesce(rule_spans(F.col(text), rules, F.col("_digits")), S.none())).drop("_digits")
 
 
 def time_spans(text: Column, spans: Column) -> Column:
@@ -50,17 +50,16 @@ def time_spans(text: Column, spans: Column) -> Column:
     return F.concat(spans, S.numbered(gated, last + 1))
 
 
-def bank_numbers(text: Column, spans: Column, window: int = 30) -> tuple[Column, Column]:
-    """(account spans, bare numbers): 12 to 19 digits that meet no span, by a bank word nearby."""
-    digits = F.when(F.rlike(text, F.lit(r"\p{Nd}{12}")), S.as_spans(S.found(text, r"(?<!\d)\d{12,19}(?!\d)"), "BANK_ACCOUNT", "regex", "bank_account_context", 110)).otherwise(S.none())
-    free = S.apart_from(digits, spans)
+def free_numbers(text: Column, spans: Column) -> Column:
+    """Numbers of 12 to 19 digits that meet no span, as account spans."""
+    digits = S.as_spans(S.found(text, r"(?<!\d)\d{12,19}(?!\d)"), "BANK_ACCOUNT", "regex", "bank_account_context", 110)
+    return F.when(F.rlike(text, F.lit(r"\p{Nd}{12}")), S.apart_from(digits, spans)).otherwise(S.none())
 
-    def near(s: Column) -> Column:
-        start = F.greatest(F.lit(0), s["start"] - window)
-        return F.rlike(F.substring(text, start + 1, s["end"] + window - start), F.lit(BANK_CONTEXT))
 
-    last = F.coalesce(F.array_max(F.transform(spans, lambda s: s["ord"])), F.lit(0))
-    return S.numbered(F.filter(free, near), last + 1), F.filter(free, lambda s: ~near(s))
+def near_bank_word(text: Column, s: Column, window: int = 30) -> Column:
+    """Whether a bank word stands in or near a span."""
+    start = F.greatest(F.lit(0), s["start"] - window)
+    return F.rlike(F.substring(text, start + 1, s["end"] + window - start), F.lit(BANK_CONTEXT))
 
 
 def without_first_years(text: Column, spans: Column) -> Column:
@@ -85,16 +84,18 @@ def detect(segments: DataFrame, policy: Policy = LABOR, rules: list[Rule] | None
     """Adds kept (by start, policy applied), dropped, bare_numbers, spans (all, before resolution).
 
     extra: spans of other engines, to be resolved with the rules'. A null text
-    has no spans. Each step is its own projection of one row; nothing shuffles.
+    has no spans. Each step is computed once a row; nothing shuffles.
     """
     t = F.col(text)
     out = with_rule_spans(segments, rules, text)
     if extra is not None:
-        out = out.withColumn("spans", F.concat("spans", F.coalesce(extra, S.none())))
+        out = S.pinned(out, spans=F.concat("spans", F.coalesce(extra, S.none())))
     if policy.redacts("TIME"):
-        out = out.withColumn("spans", F.coalesce(time_spans(t, F.col("spans")), F.col("spans")))
-    accounts, bare = bank_numbers(t, F.col("spans"))
-    out = out.withColumn("_bank", F.struct(F.coalesce(accounts, S.none()).alias("spans"), F.coalesce(bare, S.none()).alias("bare")))
-    out = out.withColumn("spans", without_first_years(t, F.concat("spans", "_bank.spans")))
-    out = out.withColumn("_r", S.resolved(F.col("spans")))
-    return out.withColumns({"kept": types_kept(F.col("_r.kept"), policy), "dropped": F.col("_r.dropped"), "bare_numbers": F.col("_bank.bare")}).drop("_r", "_bank")
+        out = S.pinned(out, spans=F.coalesce(time_spans(t, F.col("spans")), F.col("spans")))
+    free = F.coalesce(free_numbers(t, F.col("spans")), S.none())
+    out = S.pinned(out, _free=free)
+    out = S.pinned(out, _accounts=F.filter("_free", lambda s: near_bank_word(t, s)), bare_numbers=F.filter("_free", lambda s: ~near_bank_word(t, s)))
+    last = F.coalesce(F.array_max(F.transform("spans", lambda s: s["ord"])), F.lit(0))
+    out = S.pinned(out, spans=without_first_years(t, F.concat("spans", S.numbered(F.col("_accounts"), last + 1))))
+    out = S.pinned(out, _r=S.resolved(F.col("spans")))
+    return S.pinned(out, kept=types_kept(F.col("_r.kept"), policy), dropped=F.col("_r.dropped")).drop("_r", "_free", "_accounts")

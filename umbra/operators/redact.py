@@ -26,7 +26,7 @@ def numbered_prefix(entity_type: Column, number: Column, types: list[str]) -> Co
 def redact(segments: DataFrame, policy: Policy = LABOR, rules: list[Rule] | None = None, extra: Column | None = None, text: str = "text") -> DataFrame:
     """Adds redacted_text and occurrences to what ``detect`` adds."""
     out = D.detect(segments, policy, rules, extra, text)
-    out = out.withColumn("_x", S.replaced(F.col(text), F.col("kept"), label_of(policy)))
+    out = S.pinned(out, _x=S.replaced(F.col(text), F.col("kept"), label_of(policy)))
     return out.withColumns({"redacted_text": F.col("_x.text"), "occurrences": F.col("_x.occurrences")}).drop("_x")
 
 
@@ -64,7 +64,7 @@ def restore(redacted: DataFrame, strict: bool = False) -> DataFrame:
     Needs redacted_text, occurrences, redacted_sha256, source_sha256.
     """
     text = S.restored(F.col("redacted_text"), F.col("occurrences"))
-    out = redacted.withColumn("restored_text", text)
+    out = S.pinned(redacted, restored_text=text)
     status = (
         F.when(F.sha2("redacted_text", 256) != F.col("redacted_sha256"), "sha_mismatch")
         .when(F.sha2("restored_text", 256) != F.col("source_sha256"), "source_mismatch")
@@ -78,7 +78,7 @@ def restore(redacted: DataFrame, strict: bool = False) -> DataFrame:
 def residual(redacted: DataFrame, policy: Policy = LABOR, rules: list[Rule] | None = None, text: str = "redacted_text") -> DataFrame:
     """Adds findings (pattern rules only) and residual_passed."""
     found = D.with_rule_spans(redacted.drop("spans"), rules, text)
-    out = found.withColumn("findings", D.types_kept(F.col("spans"), policy)).drop("spans")
+    out = S.pinned(found, findings=D.types_kept(F.col("spans"), policy)).drop("spans")
     return out.withColumn("residual_passed", F.size("findings") == 0)
 
 
@@ -117,4 +117,4 @@ def export(detected: DataFrame, style: str = "star", text: str = "text") -> Data
         return detected.withColumn("exported_text", S.replaced(F.col(text), F.col("kept"), lambda s: M.star(s["text"], s["entity_type"]))["text"])
     number = lambda s, i: F.size(F.filter(F.slice("kept", 1, i + 1), lambda o: o["entity_type"] == s["entity_type"]))
     tagged = F.transform("kept", lambda s, i: S.changed(s, ord=number(s, i)))
-    return detected.withColumn("_t", tagged).withColumn("exported_text", S.replaced(F.col(text), F.col("_t"), lambda s: M.placeholder(s["entity_type"], s["ord"]))["text"]).drop("_t")
+    return S.pinned(detected, _t=tagged).withColumn("exported_text", S.replaced(F.col(text), F.col("_t"), lambda s: M.placeholder(s["entity_type"], s["ord"]))["text"]).drop("_t")

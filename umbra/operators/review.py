@@ -57,7 +57,7 @@ def apply_decisions(decisions: DataFrame, parts: DataFrame, doc: str) -> DataFra
             F.lit("decision").alias("engine"), e["m"].alias("rule_id"), F.lit(0).alias("priority"), F.lit(0).alias("ord"),
         ),
     ).cast(S.SPANS)
-    out = joined.withColumn("_x", S.replaced(F.coalesce("text", F.lit("")), spans, lambda s: s["rule_id"]))
+    out = S.pinned(joined, _x=S.replaced(F.coalesce("text", F.lit("")), spans, lambda s: s["rule_id"]))
     texts = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("char_offset", F.col("_x.text").alias("t")))), lambda x: x["t"]), "\n")
     done = out.groupBy(doc).agg(F.sum(F.coalesce("n_failed", F.lit(0))).alias("n_failed"), F.sum(F.size("_x.occurrences")).alias("n_applied"), texts.alias("t"))
     return done.withColumn("text", F.when(F.col("n_failed") == 0, F.col("t"))).drop("t")
