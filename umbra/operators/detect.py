@@ -36,9 +36,21 @@ def rule_spans(text: Column, rules: list[Rule] | None = None, digits: Column | N
     return S.numbered(F.flatten(F.array(*parts)))
 
 
+def balanced(segments: DataFrame) -> DataFrame:
+    """The rows over all cores, where the input has fewer splits than there are cores.
+
+    Patterns cost far more than moving a small input; a large one has splits
+    enough and stays where it is.
+    """
+    if segments.isStreaming:
+        return segments
+    cores = segments.sparkSession.sparkContext.defaultParallelism
+    return segments.repartition(cores) if segments.rdd.getNumPartitions() < cores else segments
+
+
 def with_rule_spans(segments: DataFrame, rules: list[Rule] | None = None, text: str = "text") -> DataFrame:
     """Adds ``spans``. The digit test is shared by the digit rules."""
-    out = S.pinned(segments, _digits=F.rlike(F.col(text), F.lit(_DIGITS)))
+    out = S.pinned(balanced(segments), _digits=F.rlike(F.col(text), F.lit(_DIGITS)))
     return S.pinned(out, spans=F.coalesce(rule_spans(F.col(text), rules, F.col("_digits")), S.none())).drop("_digits")
 
 
