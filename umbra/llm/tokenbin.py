@@ -13,7 +13,9 @@ rows. Extra columns are ignored.
 
 from __future__ import annotations
 
+import sys
 import zlib
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -32,13 +34,28 @@ NOT_SIMPLE = r"[^\t\n\r -~À-ɏ]"
 PRETOKEN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 
+def _printable() -> dict[int, int]:
+    """Byte -> code point: itself if it is a visible Latin-1 character, else the next one from 256 on."""
+    seen = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    hidden = [b for b in range(256) if b not in seen]
+    return {b: 256 + i for i, b in enumerate(hidden)}
+
+
+_SHOWN = _printable()
+
+
+def _little(ids: array) -> bytes:
+    if sys.byteorder == "big":
+        ids.byteswap()
+    return ids.tobytes()
+
+
 class Encoder:
     """The tokenizers library's ids, with a cache of pre-tokens.
 
     Byte-level BPE never merges across pre-tokens, so a text's ids are those of
-    its pre-tokens in turn; those not yet known are encoded together, as one text
-    that splits into them again. Texts with an added token's string, and
-    tokenizers of another kind, go to the library whole.
+    its pre-tokens in turn, which the library's model gives. Texts with an added
+    token's string, and tokenizers of another kind, go to the library whole.
     """
 
     def __init__(self, path: str):
@@ -57,33 +74,30 @@ class Encoder:
             odd, simple, full = re.compile(NOT_SIMPLE).search, re.compile(SIMPLE).findall, regex.compile(PRETOKEN).findall
             self.split = lambda text: full(text) if odd(text) else simple(text)
         self.bits = max(1, (self.tok.get_vocab_size(with_added_tokens=True) - 1).bit_length())
-        self.cache: dict[str, bytes] = {}
+        self.cache = _Cache(self.tok)
 
     def _whole(self, text: str) -> bytes:
         return np.array(self.tok.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def _learn(self, pieces: set[str]) -> None:
-        words = [p for p in pieces if p[0] == " " and p[1:].isalpha()]  # these split again when joined
-        for k in range(0, len(words), 5000):
-            some = words[k : k + 5000]
-            enc = self.tok.encode("".join(some), add_special_tokens=False)
-            ids, of = np.array(enc.ids, "<u4"), np.array(enc.word_ids)
-            cuts = np.searchsorted(of, np.arange(len(some) + 1))
-            if of[-1] + 1 == len(some):
-                self.cache.update((w, ids[i:j].tobytes()) for w, i, j in zip(some, cuts[:-1].tolist(), cuts[1:].tolist(), strict=True))
-        for p in pieces:
-            if p not in self.cache:
-                self.cache[p] = self._whole(p)
-
     def __call__(self, texts: list[str]) -> list[bytes]:
         """Each text's ids as little-endian 32-bit numbers."""
         if len(self.cache) > CACHED:
             self.cache.clear()
-        plain = self.split is not None
-        split = [self.split(t) if plain and not any(a in t for a in self.added) else None for t in texts]
-        self._learn(set().union(*(pieces for pieces in split if pieces)).difference(self.cache))
-        get = self.cache.__getitem__
-        return [self._whole(t) if pieces is None else b"".join(map(get, pieces)) for t, pieces in zip(texts, split, strict=True)]
+        get, split = self.cache.__getitem__, self.split
+        return [self._whole(t) if split is None or any(a in t for a in self.added) else b"".join(map(get, split(t))) for t in texts]
+
+
+class _Cache(dict):
+    """Pre-token -> its ids, from its bytes in their printable form."""
+
+    def __init__(self, tok):
+        super().__init__()
+        self.tokenize = tok.model.tokenize
+
+    def __missing__(self, piece: str) -> bytes:
+        shown = piece.encode("utf-8", "surrogatepass").decode("latin-1").translate(_SHOWN)
+        self[piece] = ids = _little(array("I", [t.id for t in self.tokenize(shown)]))
+        return ids
 
 
 def pack(ids: np.ndarray, bits: int) -> bytes:
