@@ -280,6 +280,13 @@ def test_op6_comes_near_the_target(spark):
         assert r.n == pytest.approx(r.t, rel=0.05)
 
 
+def test_op6_small_sources_come_near_the_target(spark):
+    rows = [(i, "w " * (1 + i * 37 % 211), f"s{i % 6}") for i in range(240)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    for r in mixing.plan(df, keep=["source"]).groupBy("row.source").agg(F.sum(F.col("size") * F.col("copies")).alias("n"), F.first("target").alias("t")).collect():
+        assert r.n == pytest.approx(r.t, rel=0.05)
+
+
 def test_op7(spark, odd, none):
     df = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     rows = queries()["op7_langid"](spark, "/root/testdata/sf0.01").where("held_out").join(df.select("doc_id", "lang"), "doc_id").collect()
