@@ -287,6 +287,15 @@ def test_op6_small_sources_come_near_the_target(spark):
         assert r.n == pytest.approx(r.t, rel=0.05)
 
 
+def test_op7_sample_holds_a_repeated_text_once(spark, monkeypatch):
+    df = spark.range(6000).select(F.col("id").alias("doc_id"), F.lit("the same words").alias("text"), F.lit("en").alias("lang"))
+    sizes = []
+    monkeypatch.setattr(langid, "_clusters", lambda x, k, rng: sizes.append(len(x)) or x[:1])
+    langid.fit(df)
+    assert sizes == [1]
+    assert [langid.has_letter(t) for t in ("½²", "12 _", "a", "1é")] == [False, False, True, True]
+
+
 def test_op7(spark, odd, none):
     df = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     rows = queries()["op7_langid"](spark, "/root/testdata/sf0.01").where("held_out").join(df.select("doc_id", "lang"), "doc_id").collect()

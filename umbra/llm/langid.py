@@ -3,8 +3,8 @@
 A text is its normalised TF-IDF vector of hashed character n-grams; it gets the
 language of the centroid with the highest cosine, and is rejected if that
 cosine lies below the language's own threshold. The classifier is fitted on a
-bounded sample of labelled rows (``per_label``, the rows of least hash); every
-row is classified by its whole text.
+bounded sample of labelled rows (about ``per_label`` different texts a label, by
+hash, however often each repeats); every row is classified by its whole text.
 
 Null texts and texts without a letter are ``und`` with score 0, and rejected.
 Rows without a label never train. Without any label at all, every row is
@@ -26,7 +26,11 @@ from ._shared import small_batches
 DIMS = 1 << 13
 ORDERS = (1, 2, 3)
 PIECE = 1 << 19  # characters hashed together
-_LETTER = re.compile(r"[^\W\d_]")
+_WORDLIKE = re.compile(r"[^\W\d_]")  # letters, and numbers that aren't decimal digits
+
+
+def has_letter(text: str) -> bool:
+    return any(m[0].isalpha() for m in _WORDLIKE.finditer(text))
 
 
 def features(text: str, dims: int = DIMS) -> np.ndarray:
@@ -53,19 +57,20 @@ def _weighted(counts: np.ndarray, idf: np.ndarray) -> np.ndarray:
 
 
 def fit(docs: DataFrame, label: str = "lang", text: str = "text", per_label: int = 300, clusters: int = 4, seed: int = 7) -> dict:
-    """The model from up to about ``per_label`` rows of each label.
+    """The model from about ``per_label`` different texts of each label.
 
-    Sampling: a label's rows whose hash lies below per_label over its count. The
-    driver gets the labels' counts and the sample's vectors, no text.
+    Sampling: texts whose hash lies below per_label over the (approximate) number
+    of the label's texts, one row each. The driver gets the labels' counts and
+    the sample's vectors, no text.
     """
     small_batches(docs.sparkSession)
-    rows = docs.where(F.col(label).isNotNull() & F.col(text).rlike(r"\p{L}")).select(F.col(label).cast("string").alias("label"), F.col(text).alias("text"))
-    counts = {r.label: r.n for r in rows.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
+    rows = docs.where(F.col(label).isNotNull() & F.col(text).rlike(r"\p{L}")).select(F.col(label).cast("string").alias("label"), F.col(text).alias("text"), F.xxhash64(F.col(text), F.lit(seed)).alias("hash"))
+    counts = {r.label: r.n for r in rows.groupBy("label").agg(F.approx_count_distinct("hash").alias("n")).collect()}
     if not counts:
         return {"labels": []}
     share = F.create_map(*(F.lit(x) for k, n in sorted(counts.items()) for x in (k, min(1.0, per_label / n))))
-    draw = F.shiftrightunsigned(F.xxhash64("text", F.lit(seed)), 11) / F.lit(float(1 << 53))
-    sample = rows.where(draw < share[F.col("label")])
+    draw = F.shiftrightunsigned("hash", 11) / F.lit(float(1 << 53))
+    sample = rows.where(draw < share[F.col("label")]).groupBy("label", "hash").agg(F.min("text").alias("text")).select("label", "text")
 
     def run(batches):
         for batch in batches:
@@ -115,7 +120,7 @@ def predict(docs: DataFrame, model: dict, keys: dict[str, Column], text: str = "
             n = batch.num_rows
             lang, score, out = np.full(n, "und", object), np.zeros(n), np.ones(n, bool)
             texts = batch.column(0)
-            known = [i for i in range(n) if model["labels"] and (t := texts[i].as_py()) and _LETTER.search(t)]
+            known = [i for i in range(n) if model["labels"] and (t := texts[i].as_py()) and has_letter(t)]
             for k in range(0, len(known), 256):
                 at = known[k : k + 256]
                 cos = _weighted(np.array([features(texts[i].as_py()) for i in at]), model["idf"]) @ model["centroids"].T
