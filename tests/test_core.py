@@ -144,7 +144,7 @@ def test_stream(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "out")).first().redacted_text == "电话【手机号】"
 
 
-@pytest.mark.parametrize("name", ["resolve_overlaps", "redacted_text", "entities", "decisions_apply", "org_gate", "address_merge"])
+@pytest.mark.parametrize("name", ["resolve_overlaps", "redacted_text", "entities", "decisions_apply", "org_gate", "address_merge", "ocr_span_lines", "seal_boxes", "residual_categories", "line_types", "token_windows", "window_tags", "run_shares", "annotation_checks"])
 def test_queries_equal_their_sql(spark, name):
     d = "/root/testdata/sf0.001"
     c = duckdb.connect()

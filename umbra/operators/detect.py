@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import spans as S
-from ..rules import BANK_CONTEXT, LABOR, TIME_PATTERN, Policy, Rule, scan_order
+from ..rules import BANK_CONTEXT, LABOR, RULES, TIME_PATTERN, Policy, Rule, scan_order
 
 _DIGITS = r"\p{Nd}{6}"
 
@@ -111,3 +111,9 @@ def detect(segments: DataFrame, policy: Policy = LABOR, rules: list[Rule] | None
     out = S.pinned(out, spans=without_first_years(t, F.concat("spans", S.numbered(F.col("_accounts"), last + 1))))
     out = S.pinned(out, _r=S.resolved(F.col("spans")))
     return S.pinned(out, kept=types_kept(F.col("_r.kept"), policy), dropped=F.col("_r.dropped")).drop("_r", "_free", "_accounts")
+
+
+def line_type(text: Column, rules: list[Rule] | None = None) -> Column:
+    """Type of the foremost rule found in the text: higher priority first, then as listed; null for none."""
+    listed = [r for r in (RULES if rules is None else rules) if r.enabled]
+    return F.coalesce(*(F.when(F.rlike(text, F.lit("(?U)" + r.pattern)), r.entity_type) for r in sorted(listed, key=lambda r: -r.priority)), F.lit(None).cast("string"))

@@ -70,3 +70,25 @@ def problems(text: Column, spans: Column) -> Column:
         .when(F.size(F.filter(spans, lambda o: (o["start"] < s["end"]) & (s["start"] < o["end"]))) > 1, "overlap"),
     )
     return F.array_distinct(F.filter(bad, lambda x: x.isNotNull()))
+
+
+#: Types that annotations may use; the rules find all others.
+ANNOTATED = ["PERSON", "ORG", "LOCATION", "MONEY"]
+
+
+def checked(text: Column, spans: Column, tags: Column) -> Column:
+    """struct(errors, warnings) of one annotation; with errors it is unusable.
+
+    spans: array of struct(entity_type, start, end, text) in order of start.
+    """
+    some = lambda test, name: F.when(F.exists(spans, test), F.lit(name))
+    errors = F.array(
+        some(lambda s: F.coalesce(F.substring(text, s["start"] + 1, s["end"] - s["start"]), F.lit("")) != s["text"], "text_mismatch"),
+        some(lambda s: s["start"] >= s["end"], "empty_span"),
+        some(lambda s: ~s["entity_type"].isin(ANNOTATED), "not_annotated_type"),
+        F.when(F.size(tags) != F.length(text), "tag_count"),
+    )
+    wrong = F.exists(F.arrays_zip(tags.alias("a"), bio(text, spans).alias("b")), lambda p: ~p["a"].eqNullSafe(p["b"]))
+    after = F.transform(spans, lambda s, i: s["end"] > F.coalesce(F.get(F.transform(spans, lambda o: o["start"]), i + 1), s["end"]))
+    warned = F.array(F.when(wrong, "tag_mismatch"), F.when(F.exists(after, lambda x: x), "overlap"))
+    return F.struct(F.array_compact(errors).alias("errors"), F.array_compact(warned).alias("warnings"))

@@ -73,3 +73,33 @@ def largest_remainder(parts: DataFrame, group: list[str], size: str, total: str,
     left = F.col(total) - F.sum("_f").over(w)
     rank = F.row_number().over(Window.partitionBy(*group).orderBy(F.desc(F.col("_e") - F.col("_f")), order))
     return out.withColumn("share", (F.col("_f") + F.when(rank <= left, 1).otherwise(0)).cast("int")).drop("_e", "_f")
+
+
+def seals(contours: DataFrame, smallest: float = 0.0005, largest: float = 0.2, roundest: float = 0.3, thinnest: float = 0.3) -> DataFrame:
+    """Contours that can be seals: by share of the page's area, by aspect and by roundness.
+
+    contours: any columns and left, top, box_width, box_height, area, perimeter,
+    ellipse_area (null where none was fitted), page_width, page_height. A contour
+    that fills over 0.6 of its ellipse counts as 0.5 round at least.
+    """
+    share = F.col("area") / (F.col("page_width") * F.col("page_height"))
+    longer = F.greatest("box_width", "box_height")
+    aspect = F.when(longer > 0, F.least("box_width", "box_height") / longer).otherwise(0.0)
+    own = circularity(F.col("area"), F.col("perimeter"))
+    filled = F.when(F.col("ellipse_area") > 0, F.col("area") / F.col("ellipse_area"))
+    kept = contours.withColumn("confidence", F.when(filled > 0.6, F.greatest(own, F.lit(0.5))).otherwise(own))
+    kept = kept.where(share.between(smallest, largest) & (aspect >= thinnest) & (F.col("confidence") >= roundest))
+    out = {"x": F.col("left") / F.col("page_width"), "y": F.col("top") / F.col("page_height"), "width": F.col("box_width") / F.col("page_width"), "height": F.col("box_height") / F.col("page_height"), "area_ratio": share}
+    return kept.withColumns({k: F.round(v, 6) for k, v in out.items()} | {"confidence": F.round("confidence", 4)})
+
+
+def residual_classes(found: DataFrame, masks: DataFrame, key: list[str], box: str = "box") -> DataFrame:
+    """One row an entity still legible: did a mask of its own miss it, or has it none there?
+
+    found: key and the bounds of each place it was read again (null where the
+    place has none); masks: key and bounds.
+    """
+    own = masks.groupBy(*key).agg(F.collect_list(box).alias("_masks"))
+    hit = F.exists("_masks", lambda m: meet(F.col(box), m))
+    near = found.join(own, key, "left").groupBy(*key).agg(F.max(F.coalesce(hit, F.lit(False))).alias("_hit"))
+    return near.select(*key, F.when(F.col("_hit"), "pixel_undercoverage").otherwise("unmapped_residual").alias("category"))

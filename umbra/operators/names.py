@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import masks as M
@@ -213,3 +213,8 @@ def windows(n_tokens: Column, size: int = 510, overlap: int = 64) -> Column:
     """array<struct(start, end)> of token windows; the first window owns a shared token."""
     starts = F.sequence(F.lit(0), F.greatest(n_tokens - overlap - 1, F.lit(0)), F.lit(size - overlap))
     return F.transform(starts, lambda s: F.struct(s.alias("start"), F.least(s + size, n_tokens).alias("end")))
+
+
+def merged_windows(tokens: DataFrame, key: list[str], window: str = "window", tag: str = "tag") -> DataFrame:
+    """One row an offset: the tag that the first window holding it gave."""
+    return tokens.groupBy(*key, "start", "end").agg(F.min_by(tag, window).alias(tag))

@@ -474,6 +474,118 @@ def normalised_boxes(spark, sf_dir):
     return p.select(F.col("p_partkey").alias("k"), n["x"].alias("x"), n["y"].alias("y"), n["width"].alias("width"), n["height"].alias("height"), O.meet(F.col("b"), other).alias("meets"))
 
 
+@query("SELECT p_partkey AS k, CAST(10 - greatest(3, p_size * 2 * 0.25) AS DOUBLE) AS x_left, CAST(10 + p_size * 2 + greatest(3, p_size * 2 * 0.25) AS DOUBLE) AS x_right, round(CAST(20 + p_size + greatest(2, p_size * 0.15) AS DOUBLE), 4) AS y_bottom, 10 - greatest(3, p_size * 2 * 0.25) <= 5 AS meets FROM part")
+def retried_boxes(spark, sf_dir):
+    b = O.widened(O.bounds(_box()))
+    p = spark.read.parquet(f"{sf_dir}/part.parquet").withColumn("b", b)
+    edge = F.struct(F.lit(0.0).alias("left"), F.lit(0.0).alias("top"), F.lit(5.0).alias("right"), F.lit(30.0).alias("bottom"))
+    return p.select(F.col("p_partkey").alias("k"), F.col("b.left").alias("x_left"), F.col("b.right").alias("x_right"), F.round("b.bottom", 4).alias("y_bottom"), O.meet(F.col("b"), edge).alias("meets"))
+
+
+_PARTS = "(SELECT o_orderkey AS k, unnest(range(1, 6)) AS i FROM orders)"
+
+
+def _parts(spark, sf_dir):
+    """Five numbered parts an order."""
+    o = spark.read.parquet(f"{sf_dir}/orders.parquet")
+    return o.select(F.col("o_orderkey").alias("k"), F.explode(F.sequence(F.lit(1), F.lit(5))).alias("i"))
+
+
+@query(f"""WITH l AS (SELECT k, i, k * i % 13 + 1 AS n, coalesce(sum(k * i % 13 + 2) OVER (PARTITION BY k ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS o FROM {_PARTS})
+SELECT k, i, CAST(greatest(0, 3 - o) AS BIGINT) AS line_from, CAST(least(n, 22 - o) AS BIGINT) AS line_to FROM l WHERE 3 < o + n AND o < 22""")
+def ocr_span_lines(spark, sf_dir):
+    lines = _parts(spark, sf_dir).select("k", "i", F.repeat(F.lit("x"), (F.col("k") * F.col("i") % 13 + 1).cast("int")).alias("text"))
+    spans = spark.read.parquet(f"{sf_dir}/orders.parquet").select(F.col("o_orderkey").alias("k"), F.lit(3).alias("start"), F.lit(22).alias("end"))
+    out = O.span_lines(spans, O.line_offsets(lines, ["k"], "i"), ["k"])
+    return out.select("k", *(F.col(c).cast("long").alias(c) for c in ("i", "line_from", "line_to")))
+
+
+@query("""WITH c AS (SELECT p_partkey AS k, p_size * 4.0::DOUBLE AS w, p_size * 2.0::DOUBLE + p_partkey % 90 AS h, p_partkey % 3 AS m FROM part),
+d AS (SELECT *, w * h * 0.7::DOUBLE AS area, 4 * pi() * (w * h * 0.7::DOUBLE) / ((2 * (w + h)) * (2 * (w + h))) AS circ FROM c),
+e AS (SELECT *, CASE WHEN m = 1 THEN greatest(circ, 0.5) ELSE circ END AS conf FROM d)
+SELECT k, round(w / 500, 6) AS width, round(h / 400, 6) AS height, round(area / 200000, 6) AS area_ratio, round(conf, 4) AS confidence
+FROM e WHERE area / 200000 BETWEEN 0.0005 AND 0.2 AND least(w, h) / greatest(w, h) >= 0.3 AND conf >= 0.3""")
+def seal_boxes(spark, sf_dir):
+    p = spark.read.parquet(f"{sf_dir}/part.parquet")
+    w, h = F.col("p_size") * 4.0, F.col("p_size") * 2.0 + F.col("p_partkey") % 90
+    c = p.select(F.col("p_partkey").alias("k"), F.lit(10.0).alias("left"), F.lit(20.0).alias("top"), w.alias("box_width"), h.alias("box_height"))
+    size = F.col("box_width") * F.col("box_height")
+    c = c.withColumns({"area": size * 0.7, "perimeter": (F.col("box_width") + F.col("box_height")) * 2, "page_width": F.lit(500.0), "page_height": F.lit(400.0), "ellipse_area": F.when(F.col("k") % 3 == 1, size * 0.785).when(F.col("k") % 3 == 2, size * 2)})
+    return O.seals(c).select("k", "width", "height", "area_ratio", "confidence")
+
+
+@query("""WITH f AS (SELECT p_partkey % 200 AS k, p_size AS x FROM part), m AS (SELECT s_suppkey % 300 AS k, s_suppkey % 40 AS x FROM supplier)
+SELECT f.k, CASE WHEN bool_or(coalesce(f.x + 2 >= m.x AND m.x + 5 >= f.x, false)) THEN 'pixel_undercoverage' ELSE 'unmapped_residual' END AS category FROM f LEFT JOIN m ON f.k = m.k GROUP BY f.k""")
+def residual_categories(spark, sf_dir):
+    def box(x, wide):
+        return F.struct(x.cast("double").alias("left"), F.lit(0.0).alias("top"), (x + wide).cast("double").alias("right"), F.lit(9.0).alias("bottom")).alias("box")
+
+    p, s = (spark.read.parquet(f"{sf_dir}/{n}.parquet") for n in ("part", "supplier"))
+    found = p.select((F.col("p_partkey") % 200).alias("k"), box(F.col("p_size"), 2))
+    return O.residual_classes(found, s.select((F.col("s_suppkey") % 300).alias("k"), box(F.col("s_suppkey") % 40, 5)), ["k"])
+
+
+_LISTED = ", ".join(f"('{r.rule_id}', {i})" for i, r in enumerate(RULES))
+
+
+@query(_CTES + f", listed(rule_id, place) AS (VALUES {_LISTED}) SELECT line_id, first(entity_type ORDER BY priority DESC, place) AS line_type FROM hits JOIN listed USING (rule_id) GROUP BY line_id")
+def line_types(spark, sf_dir):
+    return case_lines(spark, sf_dir).select("line_id", D.line_type(F.col("text")).alias("line_type")).where("line_type IS NOT NULL")
+
+
+@query("SELECT k, CAST(s AS BIGINT) AS w_start, CAST(least(s + 510, n) AS BIGINT) AS w_end FROM (SELECT o_orderkey AS k, o_orderkey % 2000 + 1 AS n, unnest(range(0, greatest(o_orderkey % 2000 - 63, 1), 446)) AS s FROM orders)")
+def token_windows(spark, sf_dir):
+    w = N.windows((F.col("o_orderkey") % 2000 + 1).cast("int"))
+    o = spark.read.parquet(f"{sf_dir}/orders.parquet").select(F.col("o_orderkey").alias("k"), F.explode(w).alias("w"))
+    return o.select("k", F.col("w.start").cast("long").alias("w_start"), F.col("w.end").cast("long").alias("w_end"))
+
+
+@query(f"SELECT k, k * i % 3 AS s, k * i % 3 + 1 AS e, arg_min('T' || CAST(i AS string), i) AS tag FROM {_PARTS} GROUP BY 1, 2, 3")
+def window_tags(spark, sf_dir):
+    at = F.col("k") * F.col("i") % 3
+    tokens = _parts(spark, sf_dir).select("k", at.alias("start"), (at + 1).alias("end"), F.col("i").alias("window"), F.concat(F.lit("T"), F.col("i").cast("string")).alias("tag"))
+    return N.merged_windows(tokens, ["k"]).select("k", F.col("start").alias("s"), F.col("end").alias("e"), "tag")
+
+
+@query(f"""WITH b AS (SELECT k, i, 17 * (k * i % 13 + 1) / sum(k * i % 13 + 1) OVER (PARTITION BY k) AS x FROM {_PARTS}),
+r AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY x - floor(x) DESC, i) AS rk, 17 - sum(floor(x)) OVER (PARTITION BY k) AS rest FROM b)
+SELECT k, i, CAST(floor(x) + CASE WHEN rk <= rest THEN 1 ELSE 0 END AS BIGINT) AS share FROM r""")
+def run_shares(spark, sf_dir):
+    parts = _parts(spark, sf_dir).select("k", "i", (F.col("k") * F.col("i") % 13 + 1).alias("n"), F.lit(17).alias("total"))
+    return O.largest_remainder(parts, ["k"], "n", "total", "i").select("k", F.col("i").cast("long").alias("i"), F.col("share").cast("long").alias("share"))
+
+
+@query("""SELECT o_orderkey AS k, concat_ws(',', CASE WHEN o_orderkey % 5 = 1 THEN 'text_mismatch' END, CASE WHEN o_orderkey % 7 = 1 THEN 'not_annotated_type' END, CASE WHEN o_orderkey % 3 = 1 THEN 'tag_count' END) AS errors,
+concat_ws(',', CASE WHEN o_orderkey % 3 = 1 OR o_orderkey % 4 = 1 THEN 'tag_mismatch' END, CASE WHEN o_orderkey % 2 = 1 THEN 'overlap' END) AS warnings FROM orders""")
+def annotation_checks(spark, sf_dir):
+    k = F.col("o_orderkey")
+
+    def span(kind, a, b, shown):
+        return F.struct(kind.alias("entity_type"), F.lit(a).alias("start"), F.lit(b).alias("end"), shown.alias("text"))
+
+    text = F.lit("abcdefgh")
+    first = span(F.when(k % 7 == 1, "PHONE").otherwise("ORG"), 0, 3, F.when(k % 5 == 1, "xyz").otherwise("abc"))
+    second = F.when(k % 2 == 1, span(F.lit("PERSON"), 2, 5, F.lit("cde"))).otherwise(span(F.lit("PERSON"), 4, 6, F.lit("ef")))
+    o = spark.read.parquet(f"{sf_dir}/orders.parquet").select(k.alias("k"), k, text.alias("text"), F.array(first, second).alias("spans"))
+    tags = E.bio(F.col("text"), F.col("spans"))
+    tags = F.when(k % 4 == 1, F.concat(F.array(F.lit("O")), F.slice(tags, 2, 7))).otherwise(tags)
+    tags = F.when(k % 3 == 1, F.slice(tags, 1, 7)).otherwise(tags)
+    o = o.select("k", E.checked(F.col("text"), F.col("spans"), tags).alias("c"))
+    return o.select("k", F.array_join("c.errors", ",").alias("errors"), F.array_join("c.warnings", ",").alias("warnings"))
+
+
+@query(f"WITH g AS ({_GOLD}), c AS (SELECT entity_type, round(count(*) FILTER (ann_id % 5 > 1) / count(*), 4) AS r FROM g GROUP BY entity_type) SELECT max(1.0::DOUBLE - r) AS worst_drop, max(1.0::DOUBLE - r) <= 0.03 AS passed FROM c")
+def recall_drop_gate(spark, sf_dir):
+    g, p = _eval(spark, sf_dir)
+    return E.drop_gate(E.matched(g, g), E.matched(g, p))
+
+
+@query("SELECT p_partkey AS k, p_size / 50 AS confidence, p_name[1:50] AS text_preview FROM part WHERE p_size / 50 < 0.7")
+def low_confidence_lines(spark, sf_dir):
+    p = spark.read.parquet(f"{sf_dir}/part.parquet").select(F.col("p_partkey").alias("k"), (F.col("p_size") / 50).alias("confidence"), F.col("p_name").alias("text"))
+    return O.low_confidence(p).select("k", "confidence", "text_preview")
+
+
 # ---- other tables ------------------------------------------------------------------------------
 
 
