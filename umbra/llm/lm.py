@@ -2,7 +2,11 @@
 
 Counting: each task packs its distinct bigrams into one block per bucket of
 context hashes; a bucket's blocks meet in one group, which writes the bucket's
-sorted hash arrays to the shared folder. Scoring workers map those files.
+sorted hash arrays to the shared folder. A context that is a large share of all
+words is hot: its pairs are dealt by the whole pair, and its sums meet in the
+next group, so no bucket holds a frequent word's whole list of followers. Which
+contexts are hot decides places alone, never a score. Scoring workers map those
+files.
 
 Nulls and empty texts are the empty token sequence, scored as its end token
 alone. Repeated rows count and are scored repeatedly. An empty training table
@@ -13,6 +17,7 @@ ignored.
 from __future__ import annotations
 
 import json
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -20,11 +25,12 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import fresh_dir, mapped, partitions_for, put_bytes, small_batches
+from ._shared import fresh_dir, mapped, partitions_for, put_bytes, small_batches, written
 
 START, END = 1, 2
 FLUSH = 4_000_000  # tokens counted together in a task
 SCORED = 1_000_000  # tokens looked up together
+HOT_WORDS = 100_000  # so many hot contexts at most, whatever the input's size
 LOW48 = np.uint64((1 << 48) - 1)
 
 
@@ -65,6 +71,47 @@ def bucket_of(h: np.ndarray, n: int) -> np.ndarray:
     return ((h >> np.uint64(32)) * np.uint64(n) >> np.uint64(32)).astype(np.int64)
 
 
+def among(x: np.ndarray, hot: np.ndarray) -> np.ndarray:
+    """Which of x are in the ascending, non-empty ``hot``."""
+    return hot[np.minimum(np.searchsorted(hot, x), len(hot) - 1)] == x
+
+
+def place_of(a: np.ndarray, b: np.ndarray, n: int, hot: np.ndarray) -> np.ndarray:
+    """Each pair's bucket: by its context, by the whole pair where that is hot."""
+    return np.where(among(a, hot), bucket_of(pair_hash(a, b), n), bucket_of(a, n))
+
+
+def hot_contexts(docs: DataFrame, share: float) -> np.ndarray:
+    """Ascending hashes of the words that are about ``share`` of all words or more, and START.
+
+    docs: one column, the text. Tasks report the words that are ``share`` of what
+    they count together, so a word can be undercounted but never overcounted;
+    the driver gets 1 / share of them at most.
+    """
+
+    def run(batches):
+        n, size = Counter(), 0
+        for batch in batches:
+            for text in batch.column(0):
+                words = _words(text.as_py())
+                n.update(words)
+                size += len(words)
+                if size >= FLUSH:
+                    yield rows(n, size)
+                    n, size = Counter(), 0
+        yield rows(n, size)
+
+    def rows(n, size):
+        found = [(word_hash(w), c) for w, c in n.items() if c >= size * share]
+        hashes = np.array([0, *(h for h, _ in found)], np.uint64)  # 0 is no word's hash; it counts all
+        return pa.RecordBatch.from_arrays([pa.array(hashes.view(np.int64)), pa.array([size, *(c for _, c in found)], pa.int64())], ["hash", "n"])
+
+    sums = written(docs.mapInArrow(run, "hash long, n long").groupBy("hash").agg(F.sum("n").alias("n")), "frequent")
+    total = sums.where("hash = 0").agg(F.sum("n")).first()[0] or 0
+    found = [r.hash for r in sums.where((F.col("hash") != 0) & (F.col("n") >= total * share)).collect()]
+    return np.sort(np.append(np.array(found, np.int64).view(np.uint64), np.uint64(START)))
+
+
 def _pairs(ids: np.ndarray, rank: np.ndarray) -> np.ndarray:
     r = rank[ids].astype(np.uint64)
     return r[:-1] << np.uint64(32) | r[1:]
@@ -110,7 +157,7 @@ def _unblock(b: bytes):
     return np.repeat(ctx, runs), _unsix(b[at : at + 6 * m]), _unsmall(b[at + 6 * m :], m)
 
 
-def _count_blocks(n_buckets: int):
+def _count_blocks(n_buckets: int, hot: np.ndarray):
     def flush(ids: _Ids, seen: list[list[int]]):
         h = ids.hashes()
         order = np.argsort(h)
@@ -124,7 +171,9 @@ def _count_blocks(n_buckets: int):
         a, b = h[(key >> np.uint64(32)).astype(np.int64)], h[(key & np.uint64(0xFFFFFFFF)).astype(np.int64)]
         keep = a != END  # the step from one text's end to the next text's start
         a, b, n = a[keep], b[keep], n[keep]
-        where = bucket_of(a, n_buckets)
+        where = place_of(a, b, n_buckets, hot)
+        order = np.argsort(where, kind="stable")  # by context within a bucket, as before
+        where, a, b, n = where[order], a[order], b[order], n[order]
         cuts = np.append(_runs(where), len(where))
         for i, j in zip(cuts[:-1], cuts[1:], strict=True):
             c = _runs(a[i:j])
@@ -154,8 +203,18 @@ def _spread(c: np.ndarray) -> list[int]:
     return [int((c == i).sum()) for i in (1, 2, 3, 4)]
 
 
-def _write_bigrams(path: str, n_buckets: int):
-    """One bucket's files; gives its words' predecessors by word bucket, and its sums."""
+def _by_context(a: np.ndarray, columns: list[np.ndarray]) -> tuple[np.ndarray, list[np.ndarray]]:
+    """Distinct contexts, ascending, and the columns' sums."""
+    if not len(a):
+        return a, columns
+    order = np.argsort(a)
+    a = a[order]
+    at = _runs(a)
+    return a[at], [np.add.reduceat(x[order].astype(np.int64), at) for x in columns]
+
+
+def _write_bigrams(path: str, n_buckets: int, hot: np.ndarray):
+    """One bucket's files; gives its words' predecessors by word bucket, its hot contexts' parts, and its sums."""
 
     def run(table: pa.Table) -> pa.Table:
         bucket = table.column("bucket")[0].as_py()
@@ -167,34 +226,45 @@ def _write_bigrams(path: str, n_buckets: int):
         at = _runs(key)
         n = np.add.reduceat(n, at)
         key, a, b = key[at], a[at], b[at]
-        put_bytes(f"{path}/pair-{bucket}", (key.astype("<u8").tobytes(), n.astype("<u4").tobytes()))
-        order = np.argsort(a)
-        a, c = a[order], n[order]
-        at = _runs(a)
-        sums = [np.add.reduceat(x.astype(np.int64), at) for x in (c, c == 1, c == 2, c > 2)]
-        put_bytes(f"{path}/context-{bucket}", (a[at].astype("<u8").tobytes(), *(x.astype("<u8").tobytes() for x in sums)))
+        put_bytes(f"{path}/pair-{bucket}", (key.astype("<u8").tobytes(), n.astype("<u8").tobytes()))
+        starts = int(n[a == START].sum())
+        info = {"tokens": int(n.sum()) - starts, "texts": starts, "pairs": len(key), "spread": _spread(n)}
+        is_hot = among(a, hot)
+        whole, part = (_by_context(a[x], [n[x], n[x] == 1, n[x] == 2, n[x] > 2]) for x in (~is_hot, is_hot))
+        put_bytes(f"{path}/context-{bucket}", _columns(*whole))
+        rows = [(bucket, None, 0, json.dumps(info | {"contexts": len(whole[0])}), None)]
+        where = bucket_of(part[0], n_buckets)
+        cuts = np.append(_runs(where), len(where))
+        for i, j in zip(cuts[:-1], cuts[1:], strict=True):
+            rows.append((int(where[i]), None, j - i, None, b"".join(_columns(part[0][i:j], [x[i:j] for x in part[1]]))))
         b = np.sort(b)
         at = _runs(b)
         before = np.diff(np.append(at, len(b)))
         b = b[at]
         where = bucket_of(b << np.uint64(16), n_buckets)
         cuts = np.append(_runs(where), len(where))
-        total = int(sums[0].sum())
-        starts = int(sums[0][a[_runs(a)] == START].sum())
-        info = json.dumps({"tokens": total - starts, "texts": starts, "contexts": len(sums[0]) - bool(starts), "pairs": len(key), "spread": _spread(n)})
-        rows = [(int(where[i]), _six(b[i:j]) + _small_counts(before[i:j]), j - i, None) for i, j in zip(cuts[:-1], cuts[1:], strict=True)]
-        rows.append((bucket, None, 0, info))
-        return pa.table([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), (pa.int32(), pa.binary(), pa.int64(), pa.string()), strict=True)], ["bucket", "block", "n", "info"])
+        for i, j in zip(cuts[:-1], cuts[1:], strict=True):
+            rows.append((int(where[i]), _six(b[i:j]) + _small_counts(before[i:j]), j - i, None, None))
+        types = (pa.int32(), pa.binary(), pa.int64(), pa.string(), pa.binary())
+        return pa.table([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), types, strict=True)], ["bucket", "block", "n", "info", "hot"])
 
     return run
 
 
+def _columns(key: np.ndarray, values: list[np.ndarray]) -> list[bytes]:
+    return [x.astype("<u8").tobytes() for x in (key, *values)]
+
+
 def _write_words(path: str):
+    """A word bucket's file, and its hot contexts' sums."""
+
     def run(table: pa.Table) -> pa.Table:
-        bucket, keys, counts, infos = table.column("bucket")[0].as_py(), [], [], []
-        for block, n, info in zip(*(table.column(c).to_pylist() for c in ("block", "n", "info")), strict=True):
+        bucket, keys, counts, infos, hot = table.column("bucket")[0].as_py(), [], [], [], []
+        for block, n, info, part in zip(*(table.column(c).to_pylist() for c in ("block", "n", "info", "hot")), strict=True):
             if info:
                 infos.append(info)
+            elif part:
+                hot.append(np.frombuffer(part, "<u8").reshape(5, n))
             else:
                 keys.append(_unsix(block[: 6 * n]))
                 counts.append(_unsmall(block[6 * n :], n))
@@ -207,6 +277,11 @@ def _write_words(path: str):
             key, n = key[at], np.add.reduceat(n, at)
             put_bytes(f"{path}/word-{bucket}", (key.astype("<u8").tobytes(), n.astype("<u8").tobytes()))
             info = {"words": len(key), "wspread": _spread(n), "followed": int(n.sum())}
+        if hot:
+            both = np.concatenate(hot, axis=1)
+            key, sums = _by_context(both[0], list(both[1:]))
+            put_bytes(f"{path}/hot-{bucket}", _columns(key, sums))
+            info["contexts"] = int((key != START).sum())
         infos.append(json.dumps(info))
         return pa.table([pa.array([_add(map(json.loads, infos))], pa.string())], ["info"])
 
@@ -248,8 +323,9 @@ def train(docs: DataFrame, text: str = "text", n_buckets: int | None = None) ->
     docs = docs.select(F.col(text).alias("text"))
     n_buckets = n_buckets or partitions_for(docs)
     path = fresh_dir(spark, "lm")
-    blocks = docs.mapInArrow(_count_blocks(n_buckets), "bucket int, block binary")
-    words = blocks.groupBy("bucket").applyInArrow(_write_bigrams(path, n_buckets), "bucket int, block binary, n long, info string")
+    hot = hot_contexts(docs, max(1 / (4 * n_buckets), 1 / HOT_WORDS))
+    blocks = docs.mapInArrow(_count_blocks(n_buckets, hot), "bucket int, block binary")
+    words = blocks.groupBy("bucket").applyInArrow(_write_bigrams(path, n_buckets, hot), "bucket int, block binary, n long, info string, hot binary")
     infos = words.groupBy("bucket").applyInArrow(_write_words(path), "info string").collect()
     info = json.loads(_add(json.loads(r.info) for r in infos))
     empty = {"tokens": 0, "texts": 0, "contexts": 0, "pairs": 0, "spread": [0] * 4, "words": 0, "wspread": [0] * 4, "followed": 0}
@@ -258,6 +334,7 @@ def train(docs: DataFrame, text: str = "text", n_buckets: int | None = None) ->
     return info | {
         "path": path,
         "buckets": n_buckets,
+        "hot": hot,
         "N": info["tokens"] + texts,
         "V": info["contexts"] + bool(texts),
         "d2": discounts(info["spread"]),
@@ -308,7 +385,10 @@ class Model:
 
     def contexts(self, h: np.ndarray) -> np.ndarray:
         """count, and how many followers were seen once, twice, more often."""
-        return self.find("context", 40, bucket_of(h, self.info["buckets"]), h, "<u8", 4)
+        out, is_hot = np.zeros((4, len(h)), np.int64), among(h, self.info["hot"])
+        for kind, at in (("context", ~is_hot), ("hot", is_hot)):
+            out[:, at] = self.find(kind, 40, bucket_of(h[at], self.info["buckets"]), h[at], "<u8", 4)
+        return out
 
     def word_p(self, h: np.ndarray) -> np.ndarray:
         """Continuation probability of each word."""
@@ -319,7 +399,7 @@ class Model:
 
     def pair_p(self, a: np.ndarray, b: np.ndarray, ctx: np.ndarray, p: np.ndarray) -> np.ndarray:
         """p(b | a), given the contexts' rows and the words' own probabilities."""
-        n = self.find("pair", 12, bucket_of(a, self.info["buckets"]), pair_hash(a, b), "<u4", 1)[0]
+        n = self.find("pair", 16, place_of(a, b, self.info["buckets"], self.info["hot"]), pair_hash(a, b), "<u8", 1)[0]
         total = np.maximum(ctx[0], 1)
         own = np.maximum(n - self.d2[np.minimum(n, 3)], 0) / total
         rest = (self.d2[1] * ctx[1] + self.d2[2] * ctx[2] + self.d2[3] * ctx[3]) / total
