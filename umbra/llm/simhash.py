@@ -1,7 +1,9 @@
 """Near duplicates by SimHash: fingerprints, exact tiled comparison, classes.
 
-Fingerprints within the radius agree in one of ``radius + 1`` bit blocks, so
-equal block values deal the distinct fingerprints into groups. A group larger
+Fingerprints within the radius differ in ``radius`` of ``radius + k`` bit blocks
+at most, so they agree in some k of them: equal values of k blocks deal the
+distinct fingerprints into groups. k follows their number, so a group of
+unrelated fingerprints stays about a tile however many there are. A group larger
 than a tile is cut into tiles by population count and hash; each pair of tiles
 whose counts can meet is compared whole with exclusive-or and bit counts, in
 one task. A comparison reports a spanning forest of its links, never all pairs:
@@ -14,6 +16,8 @@ a null component_id. Empty tables give empty results.
 
 from __future__ import annotations
 
+from itertools import combinations
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -59,9 +63,9 @@ def fingerprints(docs: DataFrame, size: int = 4, text: str = "text", keys: dict[
     return chosen.mapInArrow(run, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields) + ", fp long")
 
 
-def blocks_of(radius: int) -> list[tuple[int, int]]:
-    """(shift, bits) of radius + 1 blocks that cover 64 bits."""
-    n, out, at = radius + 1, [], 0
+def blocks_of(n: int) -> list[tuple[int, int]]:
+    """(shift, bits) of n blocks that cover 64 bits."""
+    out, at = [], 0
     for i in range(n):
         bits = 64 // n + (i < 64 % n)
         out.append((at, bits))
@@ -69,6 +73,25 @@ def blocks_of(radius: int) -> list[tuple[int, int]]:
     return out
 
 
+def agreeing(n: int, radius: int, tile: int) -> int:
+    """The least number of equal blocks that leaves n unrelated fingerprints in groups of about a tile."""
+    k = 1
+    while n > tile << (k * (64 // (radius + k))) and k * (64 // (radius + k)) < (k + 1) * (64 // (radius + k + 1)):
+        k += 1
+    return k
+
+
+def block_values(fp: Column, radius: int, k: int) -> list[Column]:
+    """The values of every k of radius + k blocks, of which linked fingerprints share one."""
+    out = []
+    for chosen in combinations(blocks_of(radius + k), k):
+        value = F.lit(0).cast("long")
+        for at, bits in chosen:
+            value = F.shiftleft(value, bits).bitwiseOR(F.shiftrightunsigned(fp, at).bitwiseAND((1 << bits) - 1))
+        out.append(value)
+    return out
+
+
 def forest(x: np.ndarray, y: np.ndarray | None, radius: int) -> list[tuple[int, int]]:
     """Links that span what lies within the radius, among x or between x and y."""
     both = x if y is None else np.concatenate((x, y))
@@ -105,7 +128,8 @@ def links(distinct: DataFrame, radius: int = 4, tile: int = TILE) -> DataFrame:
 
     distinct: one row a fingerprint, column fp.
     """
-    parts = F.array(*(F.struct(F.lit(i).alias("b"), F.shiftrightunsigned("fp", at).bitwiseAND((1 << bits) - 1).alias("v")) for i, (at, bits) in enumerate(blocks_of(radius))))
+    k = agreeing(distinct.count(), radius, tile)
+    parts = F.array(*(F.struct(F.lit(i).alias("b"), v.alias("v")) for i, v in enumerate(block_values(F.col("fp"), radius, k))))
     dealt = distinct.select("fp", F.explode(parts).alias("k")).select("fp", "k.b", "k.v", F.bit_count("fp").alias("pc"))
     classes_ = dealt.groupBy("b", "v", "pc").count()
     cut = F.map_from_entries(F.collect_list(F.struct("pc", F.ceil(F.col("count") / tile).cast("int"))))  # 65 entries at most
