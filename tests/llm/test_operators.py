@@ -90,6 +90,34 @@ def test_op1(request, which):
             assert sum(p(a, b) for b in seen) + p(a, "\0 unknown") == pytest.approx(1)
 
 
+def test_op1_hot_contexts_move_pairs_but_no_score(docs, monkeypatch):
+    keys, found = {"doc_id": F.col("doc_id")}, lm.hot_contexts
+
+    def scores():
+        info = lm.train(docs, n_buckets=6)
+        return len(info["hot"]), {r.doc_id: (r.n_known, r.base_score, r.score) for r in lm.score(docs, info, keys).collect()}
+
+    monkeypatch.setattr(lm, "hot_contexts", lambda texts, share: found(texts, 1.0))
+    few, plain = scores()
+    monkeypatch.setattr(lm, "hot_contexts", lambda texts, share: found(texts, 1 / 2000))
+    many, moved = scores()
+    assert few == 1 and 50 < many <= 2001
+    assert plain.keys() == moved.keys()
+    assert all(moved[k][0] == v[0] and moved[k][1:] == pytest.approx(v[1:], rel=1e-12) for k, v in plain.items())
+
+
+def test_op1_frequent_words_are_hot(spark):
+    df = spark.createDataFrame([("the " * 50 + f"w{i} x{i}",) for i in range(200)], "text string")
+    hot = lm.hot_contexts(df, 0.1)
+    assert list(hot) == sorted([lm.START, lm.word_hash(b"the")])
+
+
+def test_op1_counts_beyond_32_bits():
+    n = np.array([1, 254, 255, 2**33], np.int64)
+    _, _, back = lm._unblock(lm._block(np.array([7], np.uint64), np.array([4]), np.arange(4, dtype=np.uint64), n))
+    assert (back == n).all()
+
+
 def brute_pii(t):
     out = [(0, *m.span()) for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", t)]
     out += [(1, *m.span()) for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", t) if all(int(p) <= 255 for p in m[0].split("."))]
@@ -169,8 +197,10 @@ def test_op3(request, which, tile, monkeypatch):
     assert all(r.component_id == least.get(top(r.fp % 2**64)) for r in got)
 
 
-def test_op3_large_groups_lose_no_link(spark):
-    """Thousands of near fingerprints around a few centres, in small tiles."""
+@pytest.mark.parametrize("k", [1, 2, 3])
+def test_op3_large_groups_lose_no_link(spark, k, monkeypatch):
+    """Thousands of near fingerprints around a few centres, in small tiles, by k equal blocks."""
+    monkeypatch.setattr(simhash, "agreeing", lambda *a: k)
     rng = random.Random(5)
     near = {c ^ (1 << rng.randrange(64)) ^ (1 << rng.randrange(64)) for c in (rng.getrandbits(64) for _ in range(3)) for _ in range(400)}
     x = np.array(sorted(near), np.uint64).view(np.int64)
@@ -186,6 +216,11 @@ def test_op3_large_groups_lose_no_link(spark):
     assert len(set(found.values())) == len({label[i] for i in range(len(x)) if d[i].sum() > 1})
 
 
+def test_op3_equal_blocks_follow_the_number_of_fingerprints():
+    assert [simhash.agreeing(n, 4, 1024) for n in (0, 10**6, 10**8, 10**10, 10**12)] == [1, 1, 2, 3, 4]
+    assert all(sum(b for _, b in simhash.blocks_of(n)) == 64 for n in range(5, 12))
+
+
 def test_op3_keep_one(odd):
     kept = simhash.keep_one(odd)
     assert kept.columns == odd.columns
