@@ -38,9 +38,10 @@ def written(df: DataFrame, tag: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def small_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Bound the bytes of an Arrow batch of whole texts (a session setting)."""
+def small_batches(spark: SparkSession, rows: int = 1000, size: str = "8m") -> None:
+    """Bound an Arrow batch of whole texts by rows and bytes (session settings); one longer text is a batch."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
 
 
 def partitions_for(df: DataFrame) -> int:

@@ -109,6 +109,21 @@ def _clusters(x: np.ndarray, k: int, rng) -> np.ndarray:
     return c
 
 
+def _classify(texts: pa.Array, model: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Each text's language, cosine, and whether it is rejected."""
+    n = len(texts)
+    lang, score, out = np.full(n, "und", object), np.zeros(n), np.ones(n, bool)
+    known = [i for i in range(n) if model["labels"] and (t := texts[i].as_py()) and has_letter(t)]
+    for k in range(0, len(known), 256):
+        at = known[k : k + 256]
+        cos = _weighted(np.array([features(texts[i].as_py()) for i in at]), model["idf"]) @ model["centroids"].T
+        best = cos.argmax(1)
+        for i, b, row in zip(at, best, cos, strict=True):
+            lang[i], score[i] = model["labels"][b], min(1.0, max(0.0, float(row[b])))
+            out[i] = row[b] < model["least"][model["labels"][b]]
+    return lang, score, out
+
+
 def predict(docs: DataFrame, model: dict, keys: dict[str, Column], text: str = "text") -> DataFrame:
     """Key columns, lang_pred, score (the cosine), rejected."""
     small_batches(docs.sparkSession)
@@ -117,17 +132,7 @@ def predict(docs: DataFrame, model: dict, keys: dict[str, Column], text: str = "
 
     def run(batches):
         for batch in batches:
-            n = batch.num_rows
-            lang, score, out = np.full(n, "und", object), np.zeros(n), np.ones(n, bool)
-            texts = batch.column(0)
-            known = [i for i in range(n) if model["labels"] and (t := texts[i].as_py()) and has_letter(t)]
-            for k in range(0, len(known), 256):
-                at = known[k : k + 256]
-                cos = _weighted(np.array([features(texts[i].as_py()) for i in at]), model["idf"]) @ model["centroids"].T
-                best = cos.argmax(1)
-                for i, b, row in zip(at, best, cos, strict=True):
-                    lang[i], score[i] = model["labels"][b], min(1.0, max(0.0, float(row[b])))
-                    out[i] = row[b] < model["least"][model["labels"][b]]
+            lang, score, out = _classify(batch.column(0), model)
             yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(lang, pa.string()), pa.array(score), pa.array(out)], [*(f.name for f in fields), "lang_pred", "score", "rejected"])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields)
@@ -135,8 +140,12 @@ def predict(docs: DataFrame, model: dict, keys: dict[str, Column], text: str = "
 
 
 def keep_identified(docs: DataFrame, model: dict, text: str = "text") -> DataFrame:
-    """The rows of docs that aren't rejected, all columns as they were."""
-    names = docs.columns
-    keys = {f"_{i}": F.col(f"`{c}`") for i, c in enumerate(names)}
-    out = predict(docs, model, keys, text).where("not rejected")
-    return out.select(*(F.col(f"_{i}").alias(c) for i, c in enumerate(names)))
+    """The rows of docs that aren't rejected, all columns as they were; each text goes to Python once."""
+    small_batches(docs.sparkSession)
+    at = docs.columns.index(text)
+
+    def run(batches):
+        for batch in batches:
+            yield batch.filter(pa.array(~_classify(batch.column(at), model)[2]))
+
+    return docs.mapInArrow(run, docs.schema)
