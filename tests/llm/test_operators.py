@@ -156,6 +156,19 @@ def test_op2_disguises_map_back(text, kind, span):
     assert not base and [(pii.KINDS[k], text[i:j]) for k, i, j in more] == [(kind, span)]
 
 
+@pytest.mark.parametrize(
+    "text,kind,span",
+    [
+        *((f"card 4111{c}1111{c}1111{c}1111", "card", f"4111{c}1111{c}1111{c}1111") for c in "\u2010\u2011\u2012\u2013\u00a0"),
+        ("call +49\u201130\u20111234567 now", "phone", "+49\u201130\u20111234567"),
+        ("to al\u00adice@exam\u00adple.com", "email", "al\u00adice@exam\u00adple.com"),
+    ],
+)
+def test_op2_marks_alone_map_back(text, kind, span):
+    base, more = pii.find(text)
+    assert (pii.KINDS.index(kind), text.index(span), text.index(span) + len(span)) in [*base, *more]
+
+
 @pytest.mark.parametrize("text", ["look at the dot on it", "look at example.com", "one two three", "plain words", ""])
 def test_op2_leaves_clean_texts(text):
     assert pii.find(text) == ([], [])

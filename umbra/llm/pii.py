@@ -115,18 +115,14 @@ _BRACKET = re.compile(rf"(?i){_OPEN}(at|dot){_SHUT}")
 _BARE = re.compile(rf"(?i)(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]+(\s+at\s+)[A-Za-z0-9-]+(?:(?:\s+dot\s+|\.)[A-Za-z0-9-]+)*?(?:\s+dot\s+|\.)(?:{_ENDINGS})(?![A-Za-z0-9])")
 _BARE_DOT = re.compile(r"(?i)\s+dot\s+")
 _BRACKET_AT = re.compile(r"(?i)[\[({<]\s*at\s*[\])}>]")
-#: Characters that only disguise: no plain text in a Latin script has them.
-_TELLING = re.compile("[" + "".join(re.escape(c) for c in _MAP if ord(c) > 0x17F and not 0x2010 <= ord(c) <= 0x2013) + "]")
 _LETTERS = bytes(c if 97 <= c <= 122 else c + 32 if 65 <= c <= 90 else 32 for c in range(256))
 _SPELLED_BYTES = frozenset(w.encode() for w in _SPELLED)
 
 
 def _hints(text: str) -> tuple[bool, bool, bool]:
     """Whether there may be disguised characters, spelled digits, at/dot disguises."""
-    try:
-        data, glyphs = text.encode("latin-1"), False
-    except UnicodeEncodeError:
-        data, glyphs = text.encode("utf-8", "surrogatepass"), _TELLING.search(text) is not None
+    glyphs = not text.isascii() and _MAPPED.search(text) is not None
+    data = text.encode("utf-8", "surrogatepass")
     words = data.translate(_LETTERS).split()
     spelled = sum(map(_SPELLED_BYTES.__contains__, words)) >= 5
     return glyphs, spelled, b"dot" in words or b"at" in words and _BRACKET_AT.search(text) is not None
@@ -211,8 +207,8 @@ def disguised(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, in
     if spelled:  # a long run of spelled digits needs no plus sign to be a phone number
         found += [(3, *m.span()) for m in re.finditer(r"(?<![0-9+])[0-9]{9,15}(?![0-9])", r.text) if r.changed[m.start() : m.end()].sum() >= 7]
     for kind, i, j in sorted(found):
-        if r.changed[i:j].any():
-            s, e = int(r.start[i]), int(r.end[j - 1])
+        s, e = int(r.start[i]), int(r.end[j - 1])
+        if r.changed[i:j].any() or e - s > j - i:  # a dropped character leaves none that is changed
             while s < e and text[s].isspace():
                 s += 1
             while e > s and text[e - 1].isspace():
