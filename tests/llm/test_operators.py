@@ -169,6 +169,24 @@ def test_op2_marks_alone_map_back(text, kind, span):
     assert (pii.KINDS.index(kind), text.index(span), text.index(span) + len(span)) in [*base, *more]
 
 
+@pytest.mark.parametrize(
+    "text,kind,span",
+    [
+        ("ip one dot two dot three dot four", "ip", "one dot two dot three dot four"),
+        ("card 4111 1111 1111 one one one one now", "card", "4111 1111 1111 one one one one"),
+        ("call +1 five five five 0100 123 now", "phone", "+1 five five five 0100 123"),
+    ],
+)
+def test_op2_few_spelled_digits_map_back(text, kind, span):
+    base, more = pii.find(text)
+    assert not base and [(pii.KINDS[k], text[i:j]) for k, i, j in more] == [(kind, span)]
+
+
+def test_op2_few_spelled_digits_change_no_address():
+    text = "seven eight at corp dot com"
+    assert pii.find(text) == ([], [(0, text.index("eight"), len(text))])
+
+
 @pytest.mark.parametrize("text", ["look at the dot on it", "look at example.com", "one two three", "plain words", ""])
 def test_op2_leaves_clean_texts(text):
     assert pii.find(text) == ([], [])

@@ -124,7 +124,7 @@ def _hints(text: str) -> tuple[bool, bool, bool]:
     glyphs = not text.isascii() and _MAPPED.search(text) is not None
     data = text.encode("utf-8", "surrogatepass")
     words = data.translate(_LETTERS).split()
-    spelled = sum(map(_SPELLED_BYTES.__contains__, words)) >= 5
+    spelled = not _SPELLED_BYTES.isdisjoint(words)
     return glyphs, spelled, b"dot" in words or b"at" in words and _BRACKET_AT.search(text) is not None
 
 
@@ -158,12 +158,12 @@ def _glyphs(r: Rewritten) -> Rewritten:
     return r.edit([(m.start(), m.end(), _MAP[m[0]]) for m in _MAPPED.finditer(r.text)])
 
 
-def _digits(r: Rewritten) -> Rewritten:
-    """Runs with five spelled digits or more become digits, their spaces dropped."""
+def _digits(r: Rewritten, least: int) -> Rewritten:
+    """Runs with so many spelled digits or more become digits, their spaces dropped."""
     edits = []
     for run in _RUN.finditer(r.text):
         units = list(_UNITS.finditer(r.text, *run.span()))
-        if sum(u[0].lower() in _SPELLED for u in units) >= 5:
+        if sum(u[0].lower() in _SPELLED for u in units) >= least:
             for k, u in enumerate(units):
                 word = u[0].lower()
                 upto = units[k + 1].start() if k + 1 < len(units) else u.end()
@@ -198,14 +198,28 @@ def disguised(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, in
     if glyphs:
         r = _glyphs(r)
         _, spelled, ats = _hints(r.text)
+    taken, out = [(i, j) for _, i, j in base], []
+    every = _digits(r, 1) if spelled else r
     if spelled:
-        r = _digits(r)
+        r = _digits(r, 5)
+    few = every.text != r.text
     if ats:
         r = _at_dot(r)
-    taken, out = [(i, j) for _, i, j in base], []
     found = plain(r.text)
     if spelled:  # a long run of spelled digits needs no plus sign to be a phone number
-        found += [(3, *m.span()) for m in re.finditer(r"(?<![0-9+])[0-9]{9,15}(?![0-9])", r.text) if r.changed[m.start() : m.end()].sum() >= 7]
+        found += _bare_phones(r)
+    _add(text, r, found, taken, out)
+    if few:  # short runs can be numbers, but must not change what stands before an at-sign
+        _add(text, every, [x for x in plain(every.text) if x[0]] + _bare_phones(every), taken, out)
+    return out
+
+
+def _bare_phones(r: Rewritten) -> list[tuple[int, int, int]]:
+    return [(3, *m.span()) for m in re.finditer(r"(?<![0-9+])[0-9]{9,15}(?![0-9])", r.text) if r.changed[m.start() : m.end()].sum() >= 7]
+
+
+def _add(text: str, r: Rewritten, found: list, taken: list, out: list) -> None:
+    """What is found in a rewritten text and holds something rewritten, where nothing stands yet."""
     for kind, i, j in sorted(found):
         s, e = int(r.start[i]), int(r.end[j - 1])
         if r.changed[i:j].any() or e - s > j - i:  # a dropped character leaves none that is changed
@@ -216,7 +230,6 @@ def disguised(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, in
             if all(e <= a or b <= s for a, b in taken):
                 taken.append((s, e))
                 out.append((kind, s, e))
-    return out
 
 
 def joined(spans) -> str:
