@@ -11,6 +11,8 @@ import tempfile
 import uuid
 
 import numpy as np
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,10 +20,12 @@ _own: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder; a temporary one only where none is named."""
+    """The cluster's shared folder; a temporary one only where none is named, on one machine."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if base:
         return base.rstrip("/")
+    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if not _own:
         _own.append("file://" + tempfile.mkdtemp(prefix="umbra-shared-"))
     return _own[0]
@@ -50,25 +54,20 @@ def partitions_for(df: DataFrame) -> int:
     return max(n, df.rdd.getNumPartitions())
 
 
-def placed_by_range(rows: DataFrame, key: str, n: int) -> DataFrame:
-    """rows with ``part``: which of about n ascending ranges of a whole-number key holds it.
+def by_range(rows: DataFrame, key: str, text: str, n: int) -> DataFrame:
+    """rows in n partitions by ascending ranges of the key, sorted within each; nulls come first.
 
-    Nulls are in part 0 and equal keys in one part. The borders come from an
-    approximate quantile sketch; they are looked up in two steps, so the cost a
-    row follows the root of n.
+    A partition's number is its range's place. Rows of one key are dealt by their
+    texts' hashes and rows equal in both at random, so no key is too hot for its
+    range. Spark samples the ranges' borders: none stands in the plan.
     """
-    cuts = rows.stat.approxQuantile(key, [i / n for i in range(1, n)], max(0.25 / n, 1e-4)) if n > 1 else []
-    cuts = sorted({int(c) for c in cuts})
-    if not cuts:
-        return rows.withColumn("part", F.lit(0))
-    m = max(1, int(len(cuts) ** 0.5))
-    groups = [cuts[i : i + m] for i in range(0, len(cuts), m)]
-    upto = lambda a: F.array_size(F.filter(a, lambda c: c <= F.col(key)))
-    array = lambda x: F.array(*(F.lit(c).cast("long") for c in x))
-    coarse = upto(array([g[0] for g in groups]))
-    fine = upto(F.get(F.array(*map(array, groups)), coarse - 1))
-    part = F.when(F.col(key).isNull() | (coarse == 0), 0).otherwise((coarse - 1) * m + fine)
-    return rows.withColumn("part", part.cast("int"))
+    first, then = F.col(key).asc_nulls_first(), F.xxhash64(text)
+    return rows.repartitionByRange(n, first, then, F.rand(7)).sortWithinPartitions(first, then, text)
+
+
+def part_number() -> int:
+    """The running task's partition, the same when the task runs again."""
+    return TaskContext.get().partitionId()
 
 
 def local_path(uri: str) -> str | None:
@@ -121,6 +120,78 @@ def _map(path: str) -> np.ndarray:
     return np.memmap(path, np.uint8, "r")
 
 
+def among(x: np.ndarray, some: np.ndarray) -> np.ndarray:
+    """Which of x are in the ascending, non-empty ``some``."""
+    return some[np.minimum(np.searchsorted(some, x), len(some) - 1)] == x
+
+
+def bucket_of(h: np.ndarray, n: int) -> np.ndarray:
+    return ((h >> np.uint64(32)) * np.uint64(n) >> np.uint64(32)).astype(np.int64)
+
+
+def run_starts(x: np.ndarray) -> np.ndarray:
+    """Starts of the runs of equal values."""
+    return np.flatnonzero(np.concatenate(([True], x[1:] != x[:-1]))) if len(x) else np.zeros(0, np.int64)
+
+
+def six(x: np.ndarray) -> bytes:
+    """Numbers below 2 ** 48 in six bytes each."""
+    return np.ascontiguousarray(x.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6]).tobytes()
+
+
+def unsix(b: bytes) -> np.ndarray:
+    out = np.zeros((len(b) // 6, 8), np.uint8)
+    out[:, :6] = np.frombuffer(b, np.uint8).reshape(-1, 6)
+    return out.reshape(-1).view("<u8")
+
+
+def numbered(rows: DataFrame, tag: str) -> DataFrame:
+    """A written table of ``uid`` and ``row`` (a struct of all columns); a uid's upper bits name the task that gave it."""
+    return written(rows.select(F.monotonically_increasing_id().alias("uid"), F.struct("*").alias("row")), tag)
+
+
+def put_ids(ids: DataFrame, tag: str) -> str:
+    """The column uid as ascending numbers, a file for each task that gave them; their folder."""
+    path = fresh_dir(ids.sparkSession, tag)
+
+    def write(table: pa.Table) -> pa.Table:
+        uid = np.unique(table.column("uid").to_numpy())
+        put_bytes(f"{path}/{uid[0] >> 33}", [uid.astype("<i8").tobytes()])
+        return pa.table({"n": pa.array([len(uid)], pa.int64())})
+
+    parts = ids.select("uid", F.shiftright("uid", 33).alias("part"))
+    parts.groupBy("part").applyInArrow(write, "n long").agg(F.sum("n")).collect()
+    return path
+
+
+def with_ids(rows: DataFrame, path: str) -> DataFrame:
+    """The rows whose uid is in the folder's files, which workers map; the rows stay where they are.
+
+    A semi-join would shuffle whole texts, or broadcast a list that grows with
+    them. A task reads the files of its own rows alone.
+    """
+    at = rows.columns.index("uid")
+
+    def run(batches):
+        have, ids = None, None
+        for b in batches:
+            uid = b.column(at).to_numpy()
+            keep = np.zeros(len(uid), bool)
+            for part in np.unique(uid >> 33):
+                if part != have:
+                    have = part
+                    try:
+                        ids = mapped(f"{path}/{part}").view("<i8")
+                    except FileNotFoundError:
+                        ids = np.zeros(0, np.int64)
+                if len(ids):
+                    own = uid >> 33 == part
+                    keep[own] = among(uid[own], ids)
+            yield b.filter(pa.array(keep))
+
+    return rows.mapInArrow(run, rows.schema)
+
+
 def components(edges: DataFrame) -> DataFrame:
     """Connected components: (a, b) long pairs to (node, root), root the least node.
 

@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import fresh_dir, mapped, partitions_for, put_bytes, small_batches, written
+from ._shared import among, bucket_of, fresh_dir, mapped, partitions_for, put_bytes, run_starts, six, small_batches, unsix, written
 
 START, END = 1, 2
 FLUSH = 4_000_000  # tokens counted together in a task
@@ -67,15 +67,6 @@ def pair_hash(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return x ^ x >> np.uint64(32)
 
 
-def bucket_of(h: np.ndarray, n: int) -> np.ndarray:
-    return ((h >> np.uint64(32)) * np.uint64(n) >> np.uint64(32)).astype(np.int64)
-
-
-def among(x: np.ndarray, hot: np.ndarray) -> np.ndarray:
-    """Which of x are in the ascending, non-empty ``hot``."""
-    return hot[np.minimum(np.searchsorted(hot, x), len(hot) - 1)] == x
-
-
 def place_of(a: np.ndarray, b: np.ndarray, n: int, hot: np.ndarray) -> np.ndarray:
     """Each pair's bucket: by its context, by the whole pair where that is hot."""
     return np.where(among(a, hot), bucket_of(pair_hash(a, b), n), bucket_of(a, n))
@@ -117,21 +108,6 @@ def _pairs(ids: np.ndarray, rank: np.ndarray) -> np.ndarray:
     return r[:-1] << np.uint64(32) | r[1:]
 
 
-def _runs(x: np.ndarray) -> np.ndarray:
-    """Starts of the runs of equal values."""
-    return np.flatnonzero(np.concatenate(([True], x[1:] != x[:-1]))) if len(x) else np.zeros(0, np.int64)
-
-
-def _six(x: np.ndarray) -> bytes:
-    return np.ascontiguousarray(x.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6]).tobytes()
-
-
-def _unsix(b: bytes) -> np.ndarray:
-    out = np.zeros((len(b) // 6, 8), np.uint8)
-    out[:, :6] = np.frombuffer(b, np.uint8).reshape(-1, 6)
-    return out.reshape(-1).view("<u8")
-
-
 def _small_counts(c: np.ndarray) -> bytes:
     """Counts as bytes; 255 marks one that follows in full."""
     big = c[c >= 255].astype("<u8")
@@ -146,7 +122,7 @@ def _unsmall(b: bytes, n: int) -> np.ndarray:
 
 def _block(ctx, runs, words, counts) -> bytes:
     head = np.array([len(ctx), len(words)], "<u8").tobytes()
-    return head + ctx.astype("<u8").tobytes() + runs.astype("<u4").tobytes() + _six(words) + _small_counts(counts)
+    return head + ctx.astype("<u8").tobytes() + runs.astype("<u4").tobytes() + six(words) + _small_counts(counts)
 
 
 def _unblock(b: bytes):
@@ -154,7 +130,7 @@ def _unblock(b: bytes):
     ctx = np.frombuffer(b, "<u8", n, 16)
     runs = np.frombuffer(b, "<u4", n, 16 + 8 * n)
     at = 16 + 12 * n
-    return np.repeat(ctx, runs), _unsix(b[at : at + 6 * m]), _unsmall(b[at + 6 * m :], m)
+    return np.repeat(ctx, runs), unsix(b[at : at + 6 * m]), _unsmall(b[at + 6 * m :], m)
 
 
 def _count_blocks(n_buckets: int, hot: np.ndarray):
@@ -165,7 +141,7 @@ def _count_blocks(n_buckets: int, hot: np.ndarray):
         rank[order] = np.arange(len(h))
         h = h[order]
         key = np.sort(_pairs(np.fromiter((x for s in seen for x in s), np.int64, sum(map(len, seen))), rank))
-        at = _runs(key)
+        at = run_starts(key)
         n = np.diff(np.append(at, len(key)))
         key = key[at]
         a, b = h[(key >> np.uint64(32)).astype(np.int64)], h[(key & np.uint64(0xFFFFFFFF)).astype(np.int64)]
@@ -174,9 +150,9 @@ def _count_blocks(n_buckets: int, hot: np.ndarray):
         where = place_of(a, b, n_buckets, hot)
         order = np.argsort(where, kind="stable")  # by context within a bucket, as before
         where, a, b, n = where[order], a[order], b[order], n[order]
-        cuts = np.append(_runs(where), len(where))
+        cuts = np.append(run_starts(where), len(where))
         for i, j in zip(cuts[:-1], cuts[1:], strict=True):
-            c = _runs(a[i:j])
+            c = run_starts(a[i:j])
             yield int(where[i]), _block(a[i:j][c], np.diff(np.append(c, j - i)), b[i:j], n[i:j])
 
     def run(batches):
@@ -209,7 +185,7 @@ def _by_context(a: np.ndarray, columns: list[np.ndarray]) -> tuple[np.ndarray, l
         return a, columns
     order = np.argsort(a)
     a = a[order]
-    at = _runs(a)
+    at = run_starts(a)
     return a[at], [np.add.reduceat(x[order].astype(np.int64), at) for x in columns]
 
 
@@ -223,7 +199,7 @@ def _write_bigrams(path: str, n_buckets: int, hot: np.ndarray):
         key = pair_hash(a, b)
         order = np.argsort(key)
         key, a, b, n = key[order], a[order], b[order], n[order]
-        at = _runs(key)
+        at = run_starts(key)
         n = np.add.reduceat(n, at)
         key, a, b = key[at], a[at], b[at]
         put_bytes(f"{path}/pair-{bucket}", (key.astype("<u8").tobytes(), n.astype("<u8").tobytes()))
@@ -234,17 +210,17 @@ def _write_bigrams(path: str, n_buckets: int, hot: np.ndarray):
         put_bytes(f"{path}/context-{bucket}", _columns(*whole))
         rows = [(bucket, None, 0, json.dumps(info | {"contexts": len(whole[0])}), None)]
         where = bucket_of(part[0], n_buckets)
-        cuts = np.append(_runs(where), len(where))
+        cuts = np.append(run_starts(where), len(where))
         for i, j in zip(cuts[:-1], cuts[1:], strict=True):
             rows.append((int(where[i]), None, j - i, None, b"".join(_columns(part[0][i:j], [x[i:j] for x in part[1]]))))
         b = np.sort(b)
-        at = _runs(b)
+        at = run_starts(b)
         before = np.diff(np.append(at, len(b)))
         b = b[at]
         where = bucket_of(b << np.uint64(16), n_buckets)
-        cuts = np.append(_runs(where), len(where))
+        cuts = np.append(run_starts(where), len(where))
         for i, j in zip(cuts[:-1], cuts[1:], strict=True):
-            rows.append((int(where[i]), _six(b[i:j]) + _small_counts(before[i:j]), j - i, None, None))
+            rows.append((int(where[i]), six(b[i:j]) + _small_counts(before[i:j]), j - i, None, None))
         types = (pa.int32(), pa.binary(), pa.int64(), pa.string(), pa.binary())
         return pa.table([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), types, strict=True)], ["bucket", "block", "n", "info", "hot"])
 
@@ -266,14 +242,14 @@ def _write_words(path: str):
             elif part:
                 hot.append(np.frombuffer(part, "<u8").reshape(5, n))
             else:
-                keys.append(_unsix(block[: 6 * n]))
+                keys.append(unsix(block[: 6 * n]))
                 counts.append(_unsmall(block[6 * n :], n))
         info = {"words": 0, "wspread": [0] * 4, "followed": 0}
         if keys:
             key, n = np.concatenate(keys), np.concatenate(counts)
             order = np.argsort(key)
             key, n = key[order], n[order]
-            at = _runs(key)
+            at = run_starts(key)
             key, n = key[at], np.add.reduceat(n, at)
             put_bytes(f"{path}/word-{bucket}", (key.astype("<u8").tobytes(), n.astype("<u8").tobytes()))
             info = {"words": len(key), "wspread": _spread(n), "followed": int(n.sum())}
@@ -369,7 +345,7 @@ class Model:
         """
         out = np.zeros((columns, len(keys)), np.int64)
         order = np.lexsort((keys, where))
-        cuts = np.append(_runs(where[order]), len(order))
+        cuts = np.append(run_starts(where[order]), len(order))
         for i, j in zip(cuts[:-1], cuts[1:], strict=True):
             at = order[i:j]
             table, rest = self._file(kind, int(where[at[0]]), width)
@@ -421,7 +397,7 @@ class Model:
         key = flat[tokens - 1].astype(np.uint64) << np.uint64(32) | flat[tokens].astype(np.uint64)
         order = np.argsort(key)
         sorted_key = key[order]
-        at = _runs(sorted_key)
+        at = run_starts(sorted_key)
         i, j = (sorted_key[at] >> np.uint64(32)).astype(np.int64), (sorted_key[at] & np.uint64(0xFFFFFFFF)).astype(np.int64)
         logs = np.log10(self.pair_p(h[i], h[j], ctx[:, i], p[j]))
         value = np.empty(len(key))

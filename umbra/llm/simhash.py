@@ -9,6 +9,9 @@ whose counts can meet is compared whole with exclusive-or and bit counts, in
 one task. A comparison reports a spanning forest of its links, never all pairs:
 that keeps every connection between different texts.
 
+``nearcopies`` has the form of this operator that keeps one document of each
+group of near copies.
+
 Nulls and empty texts have fingerprint zero and link like any other. Repeated
 rows share a fingerprint, hence a class. A class without any non-null doc_id has
 a null component_id. Empty tables give empty results.
@@ -41,11 +44,15 @@ def fingerprint(text: str | None, size: int = 4) -> int:
     starts = np.concatenate(([0], ends[: n - 1] + 1)).tolist()
     ends = ends[-n:].tolist()
     digest = xxhash.xxh64_intdigest
+    return bits_of(np.fromiter((digest(joined[i:j], 42) for i, j in zip(starts, ends, strict=True)), np.uint64, n))
+
+
+def bits_of(h: np.ndarray) -> int:
+    """64 bits, each set if it is set in over half of the hashes; zero without any."""
     ones = np.zeros(64, np.int64)
-    for k in range(0, n, CHUNK):
-        h = np.array([digest(joined[i:j], 42) for i, j in zip(starts[k : k + CHUNK], ends[k : k + CHUNK], strict=True)], "<u8")
-        ones += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int.from_bytes(np.packbits(ones * 2 > n, bitorder="little").tobytes(), "little")
+    for k in range(0, len(h), CHUNK):
+        ones += np.unpackbits(h[k : k + CHUNK].astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return int.from_bytes(np.packbits(ones * 2 > len(h), bitorder="little").tobytes(), "little")
 
 
 def fingerprints(docs: DataFrame, size: int = 4, text: str = "text", keys: dict[str, Column] | None = None) -> DataFrame:
@@ -123,62 +130,69 @@ def _tile(count: str, part: Column) -> Column:
     return F.shiftleft(F.col(count).cast("long"), 32) + part
 
 
-def links(distinct: DataFrame, radius: int = 4, tile: int = TILE) -> DataFrame:
-    """(a, b): fingerprints at most ``radius`` bits apart, enough to connect all such.
+def tiled(members: DataFrame, group: list[str], radius: int, tile: int) -> DataFrame:
+    """members (group columns, fp, others) as rows of tile pairs: group, p, q, side, fp, others; by task, in this order.
 
-    distinct: one row a fingerprint, column fp.
+    A group up to a tile stays whole. In a larger one each population count has
+    its own tiles, by hash; pairs of tiles whose counts can't meet aren't made.
     """
-    k = agreeing(distinct.count(), radius, tile)
-    parts = F.array(*(F.struct(F.lit(i).alias("b"), v.alias("v")) for i, v in enumerate(block_values(F.col("fp"), radius, k))))
-    dealt = distinct.select("fp", F.explode(parts).alias("k")).select("fp", "k.b", "k.v", F.bit_count("fp").alias("pc"))
-    classes_ = dealt.groupBy("b", "v", "pc").count()
+    rest = [c for c in members.columns if c not in (*group, "fp")]
+    dealt = members.withColumn("pc", F.bit_count("fp"))
     cut = F.map_from_entries(F.collect_list(F.struct("pc", F.ceil(F.col("count") / tile).cast("int"))))  # 65 entries at most
-    groups = classes_.groupBy("b", "v").agg(F.sum("count").alias("total"), cut.alias("cut")).where("total > 1")
-    tiles = dealt.join(written(groups, "groups"), ["b", "v"])
-    # Groups up to a tile stay whole; in larger ones each population count has its own tiles.
-    whole = F.lit(0).cast("long")
-    small = tiles.where(F.col("total") <= tile).select("b", "v", whole.alias("p"), whole.alias("q"), F.lit(0).alias("side"), "fp")
+    groups = dealt.groupBy(*group, "pc").count().groupBy(*group).agg(F.sum("count").alias("total"), cut.alias("cut")).where("total > 1")
+    tiles = dealt.join(written(groups, "groups"), group)
+    zero = F.lit(0).cast("long")
+    out = lambda rows, p, q, side: rows.select(*group, p.alias("p"), q.alias("q"), F.lit(side).alias("side"), "fp", *rest)
+    small = out(tiles.where(F.col("total") <= tile), zero, zero, 0)
     big = tiles.where(F.col("total") > tile)
-    big = big.select("*", _tile("pc", F.pmod(F.xxhash64("fp"), F.col("cut")[F.col("pc")])).alias("t"))
+    big = big.select("*", _tile("pc", F.pmod(F.xxhash64("fp", *rest), F.col("cut")[F.col("pc")])).alias("t"))
     count = F.col("cut")[F.col("pd")]
     met = lambda low, high: (  # noqa: E731  the tiles of the counts from pc + low to pc + high
         big.select("*", F.explode(F.sequence(F.col("pc") + low, F.col("pc") + high)).alias("pd"))
         .select("*", F.explode(F.when(count > 0, F.sequence(F.lit(0), count - 1))).alias("d"))
         .select("*", _tile("pd", F.col("d")).alias("u"))
     )
-    first = met(0, radius).where("t <= u").select("b", "v", F.col("t").alias("p"), F.col("u").alias("q"), F.lit(0).alias("side"), "fp")
-    second = met(-radius, 0).where("u < t").select("b", "v", F.col("u").alias("p"), F.col("t").alias("q"), F.lit(1).alias("side"), "fp")
-    keyed = small.union(first).union(second)
+    first = out(met(0, radius).where("t <= u"), F.col("t"), F.col("u"), 0)
+    second = out(met(-radius, 0).where("u < t"), F.col("u"), F.col("t"), 1)
+    key = [*group, "p", "q"]
+    return small.union(first).union(second).repartition(*key).sortWithinPartitions(*key)
+
+
+def by_tile_pair(batches, n_key: int):
+    """Of rows from ``tiled``: the columns of each tile pair, from side on, and whether it is one tile with itself."""
+    keep = None
+    for batch in batches:
+        t = [c.to_numpy() for c in batch.columns]
+        if keep is not None:
+            t = [np.concatenate(x) for x in zip(keep, t, strict=True)]
+        new = np.zeros(len(t[0]), bool)
+        for x in t[:n_key]:
+            new[1:] |= x[1:] != x[:-1]
+        cuts = np.concatenate(([0], np.flatnonzero(new)))
+        keep = [x[cuts[-1] :].copy() for x in t]
+        for i, j in zip(cuts[:-1], cuts[1:], strict=True):
+            yield [x[i:j] for x in t[n_key:]], bool(t[n_key - 2][i] == t[n_key - 1][i])
+    if keep is not None and len(keep[0]):
+        yield keep[n_key:], bool(keep[n_key - 2][0] == keep[n_key - 1][0])
+
+
+def links(distinct: DataFrame, radius: int = 4, tile: int = TILE) -> DataFrame:
+    """(a, b): fingerprints at most ``radius`` bits apart, enough to connect all such.
+
+    distinct: one row a fingerprint, column fp.
+    """
+    k = agreeing(distinct.count(), radius, tile)
+    parts = F.array(*(F.struct(F.lit(i).alias("b"), v.alias("v")) for i, v in enumerate(block_values(F.col("fp"), radius, k))))
+    dealt = distinct.select("fp", F.explode(parts).alias("k")).select("k.b", "k.v", "fp")
 
     def run(batches):
-        keep = None
-        for batch in batches:
-            t = [batch.column(i).to_numpy() for i in range(6)]
-            if keep is not None:
-                t = [np.concatenate(x) for x in zip(keep, t, strict=True)]
-            new = np.zeros(len(t[0]), bool)
-            for x in t[:4]:
-                new[1:] |= x[1:] != x[:-1]
-            cuts = np.concatenate(([0], np.flatnonzero(new)))
-            keep = [x[cuts[-1] :].copy() for x in t]
-            yield from out(t, cuts)
-        if keep is not None and len(keep[0]):
-            yield from out(keep, np.array([0, len(keep[0])]))
-
-    def out(t, cuts):
-        found = []
-        for i, j in zip(cuts[:-1], cuts[1:], strict=True):
-            if j - i > 1:
-                fp, side = t[5][i:j], t[4][i:j] == 1
-                whole = t[2][i] == t[3][i]
-                if whole or side.any() and not side.all():
-                    found += forest(fp if whole else fp[~side], None if whole else fp[side], radius)
-        if found:
-            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.int64()) for k in (0, 1)], ["a", "b"])
+        for (side, fp), whole in by_tile_pair(batches, 4):
+            one = side == 1
+            if len(fp) > 1 and (whole or one.any() and not one.all()):
+                if found := forest(fp if whole else fp[~one], None if whole else fp[one], radius):
+                    yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.int64()) for k in (0, 1)], ["a", "b"])
 
-    key = ["b", "v", "p", "q"]
-    dealt_out = keyed.repartition(*key).sortWithinPartitions(*key)
-    return dealt_out.mapInArrow(run, "a long, b long")
+    return tiled(dealt, ["b", "v"], radius, tile).mapInArrow(run, "a long, b long")
 
 
 def classes(fps: DataFrame, radius: int = 4) -> DataFrame:
@@ -197,16 +211,5 @@ def near_duplicates(docs: DataFrame, size: int = 4, radius: int = 4) -> DataFram
     return classes(written(fingerprints(docs, size), "fps"), radius)
 
 
-def keep_one(docs: DataFrame, size: int = 4, radius: int = 4) -> DataFrame:
-    """One row of each class: of the least doc_id (null last), any one of equal rows."""
-    rows = written(docs.select(F.monotonically_increasing_id().alias("uid"), F.struct("*").alias("row")), "rows")
-    ids = {"uid": F.col("uid"), "doc_id": F.col("row.doc_id")}
-    fps = written(fingerprints(rows, size, "row.text", ids), "fps")
-    classed = classes(fps.select("uid", "doc_id", "fp"), radius)
-    first = classed.groupBy("class_fp").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "uid")).alias("m"))
-    kept = written(first.select("m.uid"), "kept")  # it grows with the rows: never broadcast
-    return rows.join(kept.hint("merge"), "uid", "left_semi").select("row.*")
-
-
 def hex_of(fp: Column) -> Column:
     return F.lower(F.lpad(F.hex(fp), 16, "0"))
