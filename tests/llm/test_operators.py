@@ -12,7 +12,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 from umbra.llm import chat, decontam, digest, langid, licenses, lm, mixing, pii, simhash, tokenbin
-from umbra.llm._shared import components, written
+from umbra.llm._shared import by_range, components, written
 from umbra.llm.queries import END_ID, fold, queries, tokenizer_path
 
 SF = "/root/testdata/sf0.001"
@@ -252,12 +252,6 @@ def test_op3_equal_blocks_follow_the_number_of_fingerprints():
     assert all(sum(b for _, b in simhash.blocks_of(n)) == 64 for n in range(5, 12))
 
 
-def test_op3_keep_one(odd):
-    kept = simhash.keep_one(odd)
-    assert kept.columns == odd.columns
-    assert kept.count() == simhash.near_duplicates(odd).select("class_fp").distinct().count()
-
-
 def test_op4(docs, odd, none):
     for df in (docs, odd):
         index = licenses.Index(licenses.frequencies(df))
@@ -442,12 +436,34 @@ def test_op9_packing_and_random_access(tmp_path):
     for bits in (1, 5, 13, 16, 17):
         lengths = rng.integers(0, 3000, 9)
         ids = rng.integers(0, 2**bits, lengths.sum()).astype(np.uint32)
-        (tmp_path / "f").write_bytes(b"".join(tokenbin.file_chunks(lengths, ids, bits)))
-        reader, at = tokenbin.Reader(str(tmp_path / "f")), np.concatenate(([0], np.cumsum(lengths)))
+        at = np.concatenate(([0], np.cumsum(lengths)))
+        w = tokenbin.Writer(bits)
+        (tmp_path / "f").write_bytes(b"".join(w.chunks(iter([(k, ids[i:j].astype("<u4")) for k, (i, j) in enumerate(itertools.pairwise(at))]))))
+        assert w.keys == list(range(9)) and w.n == len(ids)
+        reader = tokenbin.Reader(str(tmp_path / "f"))
         for i in (8, 0, 5):
             assert (reader[i] == ids[at[i] : at[i + 1]]).all()
 
 
+def test_op9_cuts_files_by_ids(docs, monkeypatch):
+    """Files of 50 ids or so: the same rows, in order, whatever the files."""
+    whole = sorted(map(tuple, tokenbin.token_output(docs.limit(40), tokenizer_path(), END_ID).collect()))
+    monkeypatch.setattr(tokenbin, "FILE_IDS", 50)
+    path, manifest = tokenbin.write_files(docs.limit(40), tokenizer_path(), END_ID, 2)
+    assert manifest.count() > 20
+    assert sorted(map(tuple, tokenbin.read_files(path, manifest, "bigint").collect())) == whole
+
+
+@pytest.mark.parametrize("n", [10, 1000])
+def test_ranges_leave_no_trace_in_the_plan(docs, n):
+    """As many nodes and letters for 10 ranges as for 1,000, and a hot key is dealt to several."""
+    plan = lambda n: by_range(docs, "doc_id", "text", n)._jdf.queryExecution().logical().toString()
+    assert abs(len(plan(n)) - len(plan(10))) < 40
+    hot = docs.withColumn("doc_id", F.lit(None).cast("long"))
+    sizes = [r["count"] for r in by_range(hot, "doc_id", "text", 8).groupBy(F.spark_partition_id()).count().collect()]
+    assert len(sizes) == 8 and max(sizes) < 0.4 * sum(sizes)
+
+
 def test_op9_encoder_equals_the_library():
     enc, rng = tokenbin.Encoder(tokenizer_path()), random.Random(2)
     parts = [*"ab1.,' \n\t\xa0é½漢", "'s", "  ", " \n", "<|endoftext|>", "don't", " ª"]
@@ -459,10 +475,11 @@ def test_op9_encoder_equals_the_library():
 @pytest.mark.parametrize("which,parts", [("docs", 3), ("docs", 60), ("odd", 4), ("none", 2)])
 def test_op10(request, which, parts):
     df = request.getfixturevalue(which)
-    rows = sorted((r.doc_id is not None, r.doc_id or 0, r.text or "") for r in df.collect())
+    tie = F.xxhash64(F.coalesce("text", F.lit(""))).alias("tie")  # documents of one id follow their texts' hashes
+    rows = sorted((r.doc_id is not None, r.doc_id or 0, r.tie, r.text or "") for r in df.select("*", tie).collect())
     want = collections.Counter()
-    for i, (known, key, text) in enumerate(rows):
-        after = rows[(i + 1) % len(rows)][2]
+    for i, (known, key, _, text) in enumerate(rows):
+        after = rows[(i + 1) % len(rows)][3]
         e = text[: len(text) - len(text) // 4] + after[: len(text) // 4]
         a, b, c = digest.digest(text), digest.digest(e), digest.digest(after)
         want[key if known else None, len(text), hashlib.sha256(e.encode()).hexdigest(), a.hex(), b.hex(), digest.likeness(a, b), digest.likeness(a, c)] += 1

@@ -7,8 +7,8 @@ largest value, so it lies between 0 and 1.
 
 Nulls are empty texts. Texts with fewer than three bytes have no triplet, and
 the digest of zero counts. Equal texts have equal digests; repeated rows repeat.
-For ``with_next``, equal doc_ids follow one another in order of their texts, a
-null doc_id comes first, and one row's next document is itself. Empty tables
+For ``with_next``, equal doc_ids follow one another in order of their texts'
+hashes, a null doc_id comes first, and one row's next document is itself. Empty tables
 give no rows, extra columns are ignored.
 """
 
@@ -18,10 +18,10 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._shared import partitions_for, placed_by_range, small_batches, written
+from ._shared import by_range, part_number, partitions_for, small_batches, written
 
 BUCKETS = 128
 PIECE = 1 << 20
@@ -77,51 +77,53 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     return chosen.mapInArrow(run, f"doc_id {chosen.schema['doc_id'].dataType.simpleString()}, fingerprint string")
 
 
+COLUMNS = ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
+
+
 def with_next(docs: DataFrame, n_parts: int | None = None) -> DataFrame:
     """Every document beside the next one: its own, its edited text's and the next one's likeness.
 
-    The texts are dealt once, by ranges of doc_id. Each range also gets the first
-    row of the range after it (of the first range, after the last), so that no
-    row's next one lies in another task. Only range borders reach the driver.
+    The texts are dealt once, by ranges of doc_id. A range's task also reports
+    its first and last text; a join of these, a row a range, gives each last row
+    the first row of the range after it (the last range's, of the first).
     """
-    spark = docs.sparkSession
-    small_batches(spark)
-    n_parts = n_parts or partitions_for(docs)
+    small_batches(docs.sparkSession)
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    placed = placed_by_range(rows, "doc_id", n_parts)
-    firsts = sorted((r.part, r.id) for r in placed.groupBy("part").agg(F.min_by("doc_id", F.struct(F.col("doc_id").isNotNull(), "doc_id")).alias("id")).collect())
-    if firsts:
-        # (part, its first id) -> the part that reads that row last
-        before = {firsts[i][0]: firsts[i - 1][0] for i in range(len(firsts))}
-        ids = [i for _, i in firsts if i is not None]
-        at_head = F.col("doc_id").isin(ids) if ids else F.lit(False)
-        if firsts[0][1] is None:
-            at_head = at_head | F.col("doc_id").isNull()
-        heads = placed.where(at_head).groupBy("part", "doc_id").agg(F.min("text").alias("text"))
-        to = F.create_map(*(F.lit(x) for kv in before.items() for x in kv))
-        heads = written(heads.select("doc_id", "text", to[F.col("part")].alias("part")), "heads")
-        placed = placed.select("doc_id", "text", "part", F.lit(0).alias("tail")).union(heads.select("doc_id", "text", "part", F.lit(1)))
-    else:
-        placed = placed.withColumn("tail", F.lit(0))
     kind = rows.schema["doc_id"].dataType.simpleString()
-    order = ["part", "tail", F.col("doc_id").asc_nulls_first(), "text"]
-    dealt = placed.repartition(n_parts, "part").sortWithinPartitions(*order).select("doc_id", "text", "tail")
+    types = f"doc_id {kind}, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
 
     def run(batches):
-        last = None
+        last, part = None, part_number()
         for b in batches:
             out = []
-            for key, text, tail in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
+            for key, text in zip(*(b.column(i).to_pylist() for i in range(2)), strict=True):
                 own = digest(text)
-                if last is not None:
-                    out.append(_row(*last, text, own))
-                last = None if tail else (key, text, own)
-            if out:
-                columns = list(zip(*out, strict=True))
-                types = [b.schema.field(0).type, pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64()]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"])
-
-    return dealt.mapInArrow(run, f"doc_id {kind}, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
+                if last is None:
+                    out.append((*[None] * 7, part, "head", text))
+                else:
+                    out.append((*_row(*last, text, own), part, None, None))
+                last = key, text, own
+            yield batch(b.schema.field(0).type, out)
+        if last is not None:
+            yield batch(b.schema.field(0).type, [(last[0], *[None] * 6, part, "tail", last[1])])
+
+    def batch(key_type, out):
+        columns = list(zip(*out, strict=True)) or [[]] * 10
+        kinds = [key_type, pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64(), pa.int32(), pa.string(), pa.string()]
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], [*COLUMNS, "part", "side", "text"])
+
+    def ends(batches):
+        for b in batches:
+            out = [(*_row(key, text, digest(text), after, digest(after)), None, None, None) for key, text, after in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True)]
+            yield batch(b.schema.field(0).type, out).select(COLUMNS)
+
+    found = written(by_range(rows, "doc_id", "text", n_parts or partitions_for(docs)).mapInArrow(run, types + ", part int, side string, text string"), "ranges")
+    heads = found.where("side = 'head'").select("part", F.col("text").alias("after"))
+    order = Window.orderBy("part")  # a row a range
+    before = heads.select("part").withColumn("p", F.coalesce(F.lag("part").over(order), F.max("part").over(Window.partitionBy())))
+    tails = found.where("side = 'tail'").select("doc_id", "text", F.col("part").alias("p"))
+    borders = tails.join(before, "p").join(heads, "part").select("doc_id", "text", "after").mapInArrow(ends, types)
+    return found.where("side is null").select(COLUMNS).union(borders)
 
 
 def edited(text: str, following: str) -> str:

@@ -1,14 +1,16 @@
 """Token ids in bit-packed files: written in key order, read back, by block or at random.
 
-File format, little-endian: magic ``UMBT1``, one byte of bits per id, three
-8-byte numbers (documents, ids, blocks), the documents' first ids (8 bytes
-each, one more than documents), the blocks' byte offsets (8 bytes each, one more
-than blocks), then the blocks. A block packs BLOCK ids, the last one fewer, each
-in the least bits that hold the vocabulary, and starts at a whole byte.
+File format, little-endian: magic ``UMBT2``, one byte of bits per id, the
+blocks, the documents' first ids (8 bytes each, one more than documents), the
+blocks' byte offsets (8 bytes each, one more than blocks), three 8-byte numbers
+(documents, ids, blocks). A block packs BLOCK ids, the last one fewer, each in
+the least bits that hold the vocabulary, and starts at a whole byte. The index
+stands last, so a file is written block by block; a range of keys takes as many
+files as its ids need.
 
 Nulls and empty texts are the end id alone. Repeated rows are written
-repeatedly; a null key sorts first. An empty table writes no file and gives no
-rows. Extra columns are ignored.
+repeatedly; a null key sorts first, any orderable key will do. An empty table
+writes no file and gives no rows. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -16,16 +18,19 @@ from __future__ import annotations
 import sys
 import zlib
 from array import array
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import fresh_dir, mapped, partitions_for, placed_by_range, put_bytes, small_batches
+from ._shared import by_range, fresh_dir, mapped, part_number, partitions_for, put_bytes, small_batches
 
-MAGIC = b"UMBT1"
+MAGIC = b"UMBT2"
 BLOCK = 4096
+FILE_IDS = 1 << 26  # ids after which a file ends
+FILE_DOCS = 1 << 20  # documents after which it does
 CACHED = 400_000  # pre-tokens whose ids a worker keeps
 #: The byte-level BPE family's published pre-token pattern. In texts of the
 #: characters below, the standard library's classes mean the same and are faster.
@@ -115,15 +120,43 @@ def unpack(raw: np.ndarray, n: int, bits: int) -> np.ndarray:
     return np.packbits(out, axis=1, bitorder="little").reshape(-1).view("<u4")
 
 
-def file_chunks(lengths: np.ndarray, ids: np.ndarray, bits: int):
-    """A file's bytes, in pieces."""
-    firsts = np.concatenate(([0], np.cumsum(lengths)))
-    blocks = [pack(ids[k : k + BLOCK], bits) for k in range(0, len(ids), BLOCK)]
-    offsets = np.concatenate(([0], np.cumsum([len(b) for b in blocks]))) if blocks else np.zeros(1)
-    yield MAGIC + bytes([bits]) + np.array([len(lengths), len(ids), len(blocks)], "<u8").tobytes()
-    yield firsts.astype("<u8").tobytes()
-    yield offsets.astype("<u8").tobytes()
-    yield from blocks
+class Writer:
+    """A file's bytes in pieces, from (key, ids) of its documents; it holds a block of ids and the index.
+
+    Takes documents until the file is full, and leaves their keys and numbers.
+    """
+
+    def __init__(self, bits: int):
+        self.bits, self.keys, self.lengths, self.n = bits, [], [], 0
+
+    def chunks(self, docs):
+        held, size, offsets = [], 0, [0]
+
+        def full(last: bool):
+            ids = np.concatenate(held) if held else np.zeros(0, "<u4")
+            end = len(ids) if last else len(ids) - len(ids) % BLOCK
+            for k in range(0, end, BLOCK):
+                block = pack(ids[k : k + BLOCK], self.bits)
+                offsets.append(offsets[-1] + len(block))
+                yield block
+            held[:] = [ids[end:]]
+
+        yield MAGIC + bytes([self.bits])
+        for key, ids in docs:
+            self.keys.append(key)
+            self.lengths.append(len(ids))
+            self.n += len(ids)
+            held.append(ids)
+            size += len(ids)
+            if size >= 16 * BLOCK:
+                yield from full(False)
+                size = len(held[0])
+            if self.n >= FILE_IDS or len(self.keys) >= FILE_DOCS:
+                break
+        yield from full(True)
+        yield np.concatenate(([0], np.cumsum(self.lengths))).astype("<u8").tobytes()
+        yield np.array(offsets, "<u8").tobytes()
+        yield np.array([len(self.keys), self.n, len(offsets) - 1], "<u8").tobytes()
 
 
 class Reader:
@@ -134,11 +167,11 @@ class Reader:
         if bytes(raw[:5]) != MAGIC:
             raise ValueError(f"not a token file: {uri}")
         self.bits = int(raw[5])
-        self.docs, self.n, blocks = (int(x) for x in raw[6:30].view("<u8"))
-        at = 30 + 8 * (self.docs + 1)
-        self.firsts = raw[30:at].view("<u8")
-        self.offsets = raw[at : at + 8 * (blocks + 1)].view("<u8")
-        self.data = raw[at + 8 * (blocks + 1) :]
+        self.docs, self.n, blocks = (int(x) for x in raw[-24:].copy().view("<u8"))
+        at = len(raw) - 24 - 8 * (blocks + 1)
+        self.offsets = raw[at:-24].copy().view("<u8")
+        self.firsts = raw[at - 8 * (self.docs + 1) : at].copy().view("<u8")
+        self.data = raw[6:]
 
     def ids(self, i: int, j: int) -> np.ndarray:
         """Ids i to j of the file, from the blocks that hold them."""
@@ -152,63 +185,43 @@ class Reader:
         return self.ids(int(self.firsts[i]), int(self.firsts[i + 1]))
 
 
-def encode(docs: DataFrame, tokenizer: str, end_id: int, n_files: int, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """key, part (its range of keys), n_tokens and packed ids of every row."""
-    small_batches(docs.sparkSession)
-    chosen = placed_by_range(docs.select(F.col(key).alias("key"), F.col(text).alias("text")), "key", n_files)
-    kind = chosen.schema["key"].dataType.simpleString()
-
-    def run(batches):
-        enc, end = Encoder(tokenizer), np.array([end_id], "<u4").tobytes()
-        for batch in batches:
-            packed, n = [], []
-            for k in range(0, batch.num_rows, 200):
-                for raw in enc([t or "" for t in batch.column(1).slice(k, 200).to_pylist()]):
-                    ids = np.frombuffer(raw + end, "<u4")
-                    n.append(len(ids))
-                    packed.append(pack(ids, enc.bits))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(packed, pa.binary()), pa.array([enc.bits] * len(n), pa.int32()), batch.column(2)], ["key", "n_tokens", "packed", "bits", "part"])
-
-    return chosen.mapInArrow(run, f"key {kind}, n_tokens long, packed binary, bits int, part int")
-
-
-def write_files(encoded: DataFrame, n_files: int) -> tuple[str, DataFrame]:
-    """A file of each part of ``encoded``, in ascending key order; their folder and manifest.
+def write_files(docs: DataFrame, tokenizer: str, end_id: int, n_ranges: int, key: str = "doc_id", text: str = "text") -> tuple[str, DataFrame]:
+    """Every text's ids and the end id in files, in ascending key order; their folder and manifest.
 
-    The manifest has a row a file: part, rows, ids, and ``start``, the ids in all
-    files before. Only that row reaches the driver.
+    Texts are dealt once, by ranges of the key; a range's task encodes them and
+    writes its files one after the other. The manifest has a row a file: name,
+    and ``start``, the ids in all files before. Only that row reaches the driver.
     """
-    spark = encoded.sparkSession
+    spark = docs.sparkSession
+    small_batches(spark)
     path = fresh_dir(spark, "tokens")
-    dealt = encoded.repartition(n_files, "part").sortWithinPartitions("part", F.col("key").asc_nulls_first(), "n_tokens", "packed")
+    dealt = by_range(docs.select(F.col(key).alias("key"), F.col(text).alias("text")), "key", "text", n_ranges)
 
     def run(batches):
-        keys, lengths, ids, part, bits = [], [], [], None, 1
-
-        def close():
-            put_bytes(f"{path}/{part:06d}.tok", file_chunks(np.array(lengths), np.concatenate(ids), bits))
-            put_bytes(f"{path}/{part:06d}.keys", [_ipc(pa.array(keys, kind))])
-            return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([len(keys)], pa.int64()), pa.array([sum(lengths)], pa.int64())], ["part", "docs", "ids"])
-
-        for batch in batches:
-            kind = batch.schema.field("key").type
-            for k, n, raw, b, p in zip(*(batch.column(c) for c in ("key", "n_tokens", "packed", "bits", "part")), strict=True):
-                if part is not None and p.as_py() != part:
-                    yield close()
-                    keys, lengths, ids = [], [], []
-                part, bits = p.as_py(), b.as_py()
-                keys.append(k.as_py())
-                lengths.append(n.as_py())
-                ids.append(unpack(np.frombuffer(raw.as_buffer(), np.uint8), lengths[-1], bits))
-        if keys:
-            yield close()
-
-    found = sorted(dealt.mapInArrow(run, "part int, docs long, ids long").collect())
-    rows, start = [], 0
-    for part, n, ids in found:
-        rows.append((part, n, ids, start))
-        start += ids
-    return path, spark.createDataFrame(rows, "part int, docs long, ids long, start long")
+        enc, end, kind = Encoder(tokenizer), np.array([end_id], "<u4").tobytes(), None
+
+        def encoded():
+            nonlocal kind
+            for batch in batches:
+                kind = batch.schema.field(0).type
+                for k in range(0, batch.num_rows, 200):
+                    part = batch.slice(k, 200)
+                    raws = enc([t or "" for t in part.column(1).to_pylist()])
+                    yield from zip(part.column(0).to_pylist(), (np.frombuffer(r + end, "<u4") for r in raws), strict=True)
+
+        docs, number = encoded(), 0
+        while (first := next(docs, None)) is not None:
+            name, w = f"{part_number():08d}-{number:06d}", Writer(enc.bits)
+            put_bytes(f"{path}/{name}.tok", w.chunks(chain([first], docs)))
+            put_bytes(f"{path}/{name}.keys", [_ipc(pa.array(w.keys, kind))])
+            yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([w.n], pa.int64())], ["name", "ids"])
+            number += 1
+
+    found, start, rows = sorted(dealt.mapInArrow(run, "name string, ids long").collect()), 0, []
+    for name, n in found:
+        rows.append((name, start))
+        start += n
+    return path, spark.createDataFrame(rows, "name string, start long")
 
 
 def _ipc(values: pa.Array) -> bytes:
@@ -224,9 +237,9 @@ def read_files(path: str, manifest: DataFrame, key_type: str, key: str = "doc_id
 
     def run(batches):
         for batch in batches:
-            for part, start in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                reader = Reader(f"{path}/{part:06d}.tok")
-                keys = pa.ipc.open_stream(mapped(f"{path}/{part:06d}.keys").tobytes()).read_all().column(0)
+            for name, start in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                reader = Reader(f"{path}/{name}.tok")
+                keys = pa.ipc.open_stream(mapped(f"{path}/{name}.keys").tobytes()).read_all().column(0)
                 firsts = reader.firsts.astype(np.int64)
                 for at in range(0, reader.docs, 4096):
                     end = min(reader.docs, at + 4096)
@@ -235,12 +248,11 @@ def read_files(path: str, manifest: DataFrame, key_type: str, key: str = "doc_id
                     crc = [zlib.crc32(ids[i:j]) for i, j in zip(cut[:-1], cut[1:], strict=True)]
                     yield pa.RecordBatch.from_arrays([keys.slice(at, end - at).combine_chunks(), pa.array(firsts[at:end] + start), pa.array(np.diff(firsts[at : end + 1])), pa.array(crc, pa.int64())], [key, "start", "n_tokens", "ids_crc32"])
 
-    spread = manifest.select("part", "start").repartition(partitions_for(manifest), "part")
+    spread = manifest.select("name", "start").repartition(partitions_for(manifest), "name")
     return spread.mapInArrow(run, f"`{key}` {key_type}, start long, n_tokens long, ids_crc32 long")
 
 
 def token_output(docs: DataFrame, tokenizer: str, end_id: int, key: str = "doc_id") -> DataFrame:
-    """Encode, write, read back. The encoded rows go straight to their files' shuffle."""
-    n_files = partitions_for(docs)
-    path, manifest = write_files(encode(docs, tokenizer, end_id, n_files, key), n_files)
+    """Encode, write, read back."""
+    path, manifest = write_files(docs, tokenizer, end_id, partitions_for(docs), key)
     return read_files(path, manifest, docs.schema[key].dataType.simpleString(), key)
