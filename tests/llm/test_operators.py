@@ -376,10 +376,39 @@ def test_op7_pieces_add_up(monkeypatch):
     assert (langid.features(text) == whole).all()
 
 
-def test_op8_masks_hit_every_pattern():
-    for r in (0, 1, 2):
-        for gone in itertools.combinations(range(13), r):
-            assert any(all(o + p not in gone for p in m) for m in decontam.MASKS for o in range(13 - decontam.SPAN + 1))
+@pytest.mark.parametrize("n", range(1, 14))
+def test_op8_masks_hit_every_pattern(n):
+    masks = decontam.masks_for(n, decontam.allowed(n, 0.8))
+    for r in range(decontam.allowed(n, 0.8) + 1):
+        for gone in itertools.combinations(range(n), r):
+            assert any(all(o + p not in gone for p in m) for m in masks for o in range(n - m[-1]))
+
+
+def test_op8_masks_of_long_windows():
+    rng = random.Random(1)
+    for n, gone in ((20, 4), (40, 8), (50, 20)):
+        masks = decontam.masks_for(n, gone)
+        for _ in range(500):
+            out = set(rng.sample(range(n), gone))
+            assert any(all(o + p not in out for p in m) for m in masks for o in range(n - m[-1]))
+
+
+@pytest.mark.parametrize("limit", [10**6, 1])
+def test_op8_finds_items_of_every_length(spark, limit, monkeypatch):
+    """Items of 1 to 13 words, under every pattern of substitutions that their share allows, and one more."""
+    monkeypatch.setattr(decontam, "BROADCAST_ROWS", limit)
+    items = [(n, " ".join(f"w{n}x{i}" for i in range(n))) for n in range(1, 14)]
+    rows, want = [], set()
+    for n, text in items:
+        most = decontam.allowed(n, 0.8)
+        for r in range(most + 2):
+            for gone in itertools.combinations(range(n), r):
+                w = ["gone" if i in gone else x for i, x in enumerate(text.split())]
+                if r <= most:
+                    want.add((len(rows), n, n - r))
+                rows.append((len(rows), " ".join(["before", *w, "after"])))
+    docs, bench = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    assert {(r.doc_id, r.item_id, r.matched) for r in decontam.matches(docs, bench).collect()} == want
 
 
 @pytest.mark.parametrize("limit", [10**6, 1])

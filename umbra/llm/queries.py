@@ -112,5 +112,16 @@ SELECT conv_id, count(*) AS n_turns,
 FROM rows GROUP BY conv_id"""
 
 
+#: Every aligned pair of words, without a hash: the most within 13 places, against 0.8 of 13 or of the item's words.
+OP8_SQL = f"""
+WITH d AS (SELECT doc_id, list_filter(string_split_regex(lower(coalesce(text, '')), '{decontam.SEPARATOR}'), lambda x: x <> '') AS w FROM documents),
+b AS (SELECT item_id, list_filter(string_split_regex(lower(coalesce(text, '')), '{decontam.SEPARATOR}'), lambda x: x <> '') AS w FROM benchmark),
+dw AS (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS i FROM d),
+bw AS (SELECT item_id, least(len(w), 13) AS n, unnest(w) AS word, generate_subscripts(w, 1) AS j FROM b),
+same AS (SELECT doc_id, item_id, n, i - j AS shift, j FROM dw JOIN bw USING (word)),
+near AS (SELECT doc_id, item_id, n, count(*) OVER (PARTITION BY doc_id, item_id, shift ORDER BY j RANGE BETWEEN 12 PRECEDING AND CURRENT ROW) AS m FROM same)
+SELECT doc_id, item_id, max(m / n) AS overlap, CAST(max(m) AS INTEGER) AS matched FROM near WHERE m >= 0.8 * n GROUP BY doc_id, item_id"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op5_chat": OP5_SQL}
+    return {"op5_chat": OP5_SQL, "op8_decontaminate": OP8_SQL}
