@@ -6,6 +6,7 @@ import itertools
 import math
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -162,6 +163,9 @@ def test_op2_disguises_map_back(text, kind, span):
         *((f"card 4111{c}1111{c}1111{c}1111", "card", f"4111{c}1111{c}1111{c}1111") for c in "\u2010\u2011\u2012\u2013\u00a0"),
         ("call +49\u201130\u20111234567 now", "phone", "+49\u201130\u20111234567"),
         ("to al\u00adice@exam\u00adple.com", "email", "al\u00adice@exam\u00adple.com"),
+        ("to jane@exam\u00adple.com", "email", "jane@exam\u00adple.com"),
+        ("to ali\u200bce@example.com now", "email", "ali\u200bce@example.com"),
+        ("call +44 20\u20107946\u20100958 now", "phone", "+44 20\u20107946\u20100958"),
     ],
 )
 def test_op2_marks_alone_map_back(text, kind, span):
@@ -175,6 +179,11 @@ def test_op2_marks_alone_map_back(text, kind, span):
         ("ip one dot two dot three dot four", "ip", "one dot two dot three dot four"),
         ("card 4111 1111 1111 one one one one now", "card", "4111 1111 1111 one one one one"),
         ("call +1 five five five 0100 123 now", "phone", "+1 five five five 0100 123"),
+        ("host 192 dot 168 dot 0 dot 1 is up", "ip", "192 dot 168 dot 0 dot 1"),
+        ("write to jane at example dot xyz today", "email", "jane at example dot xyz"),
+        ("mail jane(at)example(dot)museum please", "email", "jane(at)example(dot)museum"),
+        ("mail jane at ex\u0430mple.com please", "email", "jane at ex\u0430mple.com"),
+        ("to jane@mail dot example dot org now", "email", "jane@mail dot example dot org"),
     ],
 )
 def test_op2_few_spelled_digits_map_back(text, kind, span):
@@ -187,7 +196,19 @@ def test_op2_few_spelled_digits_change_no_address():
     assert pii.find(text) == ([], [(0, text.index("eight"), len(text))])
 
 
-@pytest.mark.parametrize("text", ["look at the dot on it", "look at example.com", "one two three", "plain words", ""])
+def test_op2_base_spans_stay_beside_longer_ones():
+    base, more = pii.find("to ali\u200bce@example.com now")
+    assert base == [(0, 7, 21)] and more == [(0, 3, 21)]
+
+
+@pytest.mark.parametrize("text", ["dot" + " " * 200_000 + "x", "a at" + " " * 200_000 + "dot", "one" + " " * 200_000 + "x", "( " * 100_000 + "dot", "one dot " * 40_000, "x" * 200_000 + " at dot", "a@b dot " * 30_000, "a.b-" * 50_000 + " at dot \u0430"])
+def test_op2_is_linear(text):
+    start = time.perf_counter()
+    pii.find(text)
+    assert time.perf_counter() - start < (1 if text.count(" ") >= 200_000 else 4)
+
+
+@pytest.mark.parametrize("text", ["look at the dot on it", "they stare at this dot and wait", "5 dash 6", "point 3 point", "look at example.com", "one two three", "plain words", ""])
 def test_op2_leaves_clean_texts(text):
     assert pii.find(text) == ([], [])
 
