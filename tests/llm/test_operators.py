@@ -282,22 +282,63 @@ def test_op4(docs, odd, none):
             at = [(i, p) for p in licenses.PHRASES for i in range(len(w)) if w[i : i + len(p.split())] == p.split()]
             pos = [i for i, _ in at]
             labels = {licenses.PHRASES[p] for _, p in at}
-            for block in {b for par in re.split(r"\n[ \t\r]*\n", r.text or "") for b in [par, *par.split("\n")]}:
-                own = set(licenses.words_of(block.encode()))
-                labels |= {label for label, t in licenses.TEMPLATES if len(set(licenses.words_of(t.encode())) & own) >= 0.8 * len(set(licenses.words_of(t.encode()))) - 1e-9}
+            for par in re.split(r"\n[ \t\r]*\n", r.text or ""):
+                labels |= {t.label for t in licenses.TEMPLATES if brute_license(t, licenses.words_of(par.encode()))}
             want[r.doc_id, len(w), len(at), min(pos, default=None), max(pos, default=None), ",".join(sorted({licenses.PHRASES[p] for _, p in at})), ",".join(sorted(labels))] += 1
         assert collections.Counter(tuple(r)[:7] for r in licenses.scan(df).collect()) == want
         assert index.prefix
     assert licenses.scan(none).count() == 0
 
 
+def brute_license(t, par):
+    """Whether some stretch of twice the template's words meets it."""
+    own = [w.encode() for w in words(re.sub("[^A-Za-z0-9]", " ", t.text))]
+    need = math.ceil(0.8 * len(set(own)) - 1e-9)
+    if len(set(own) & set(par)) < need:
+        return False
+    blocks = (set(par[max(0, i - 2 * len(own) + 1) : i + 1]) for i in range(len(par)))
+    return any(len(set(own) & b) >= need and not any(w.encode() in b for w in t.never) and all(any(w.encode() in b for w in g) for g in t.must) for b in blocks)
+
+
 def test_op4_filters_are_exact():
     rng = random.Random(1)
     index = licenses.Index({w: rng.randint(0, 9) for w in licenses.VOCABULARY})
-    sets, voc = [set(licenses.words_of(t.encode())) for _, t in licenses.TEMPLATES], sorted(licenses.VOCABULARY)
-    for _ in range(5000):
-        w = frozenset([x for x in rng.choice(sets) if rng.random() < 0.85] + rng.sample(voc, rng.randint(0, 6)))
-        assert set(index.matches(w)) == {(i, len(t & w) / len(t)) for i, t in enumerate(sets) if len(t & w) >= len(t) * 0.8 - 1e-9}
+    texts, voc = [licenses.words_of(t.text.encode()) for t in licenses.TEMPLATES], sorted(licenses.KNOWN)
+    for _ in range(3000):
+        w = [x for x in rng.choice(texts) if rng.random() < 0.9]
+        for _ in range(rng.choice((0, 2, 8, 60))):
+            w.insert(rng.randint(0, len(w)), rng.choice((b"other", b"words", rng.choice(voc))))
+        assert {i for i, _ in index.matches(w)} == {i for i, t in enumerate(licenses.TEMPLATES) if brute_license(t, w)}
+
+
+@pytest.mark.parametrize(
+    "text,labels",
+    [
+        ("This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.", "gpl"),
+        ("you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation", "gpl,lgpl"),  # the phrase alone gives gpl
+        ("you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation", "agpl,gpl"),
+        ("Licensed under CC BY 4.0.", "cc-by"),
+        ("Licensed under CC BY-NC 4.0.", "cc-by,cc-by-nc"),
+        ("Licensed under CC BY-SA 4.0.", "cc-by,cc-by-sa"),
+        ("Licensed under CC BY-NC-SA 4.0.", "cc-by,cc-by-nc-sa"),
+        ("This work is licensed under a Creative Commons Attribution 4.0 International License.", "cc-by"),
+        ("This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.", "cc-by-sa"),
+        ("This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License.", "cc-by-nc"),
+        ("Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.", "isc"),
+        ("Distributed under the Boost Software License, Version 1.0. (See accompanying file LICENSE_1_0.txt)", "bsl"),
+        ("Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files", "mit"),
+        ("Released under the MIT License.", "mit"),
+        ("Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance with the License.", "apache"),
+        ("This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.", "mpl"),
+        ("Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions:", "zlib"),
+        ("This is free and unencumbered software released into the public domain.", "unlicense"),
+        ("Copyright 2020 Somebody. All rights reserved.", "reserved"),
+        ("it was released by the MIT press " + "and many other words " * 20 + "under no license", ""),
+        ("a license to drive, under the law", ""),
+    ],
+)
+def test_op4_notices(text, labels):
+    assert ",".join(sorted(licenses.scan_text(text, licenses.Index({}))[3])) == labels
 
 
 def test_op5_round_trip(spark):
