@@ -409,12 +409,9 @@ def test_op6_small_sources_come_near_the_target(spark):
         assert r.n == pytest.approx(r.t, rel=0.05)
 
 
-def test_op7_sample_holds_a_repeated_text_once(spark, monkeypatch):
+def test_op7_sample_holds_a_repeated_text_once(spark):
     df = spark.range(6000).select(F.col("id").alias("doc_id"), F.lit("the same words").alias("text"), F.lit("en").alias("lang"))
-    sizes = []
-    monkeypatch.setattr(langid, "_clusters", lambda x, k, rng: sizes.append(len(x)) or x[:1])
-    langid.fit(df)
-    assert sizes == [1]
+    assert langid.fit(df)["texts"] == 1
     assert [langid.has_letter(t) for t in ("½²", "12 _", "a", "1é")] == [False, False, True, True]
 
 
@@ -431,6 +428,44 @@ def test_op7(spark, odd, none):
     assert {r.lang_pred for r in langid.predict(odd, langid.fit(none), {"i": F.col("doc_id")}).collect()} == {"und"}
 
 
+def brute_features(text):
+    """Hashed n-grams of one to three characters, one character at a time."""
+    code = [c if c >= 170 or 97 <= c <= 122 else c + 32 if 65 <= c <= 90 else 32 for c in map(ord, text.lower())]
+    out, most = np.zeros(langid.DIMS), 2**64
+    for i in range(len(code)):
+        h = 0
+        for n in (1, 2, 3):
+            if i + n <= len(code):
+                h = (h * 0x9E3779B97F4A7C15 + (code[i + n - 1] + n) * 0xC2B2AE3D27D4EB4F) % most
+                out[((h ^ h >> 31) * 0x9E3779B97F4A7C15 % most >> 51) % langid.DIMS] += 1
+    return out
+
+
+def test_op7_equals_brute_force(docs):
+    """Features, weights, the nearest centroid and the rejection, computed anew from the fitted model."""
+    model = langid.fit(docs)
+    assert sorted(set(model["labels"])) == sorted(r.lang for r in docs.select("lang").distinct().collect() if r.lang)
+    rows = docs.select("text").where(F.length("text") < 3000).limit(60)
+    for r in langid.predict(rows, model, {"text": F.col("text")}).collect():
+        if not any(c.isalpha() for c in r.text or ""):
+            assert (r.lang_pred, r.score, r.rejected) == ("und", 0, True)
+            continue
+        x = np.log1p(brute_features(r.text)) * model["idf"].astype(float)
+        cos = [float(x @ c / np.linalg.norm(x)) for c in model["centroids"].astype(float)]
+        assert r.score == pytest.approx(max(cos), abs=1e-5)
+        assert r.lang_pred in {k for k, c in zip(model["labels"], cos, strict=True) if c > max(cos) - 1e-5}
+        assert r.rejected == (r.score < model["least"][r.lang_pred])
+
+
+def test_op7_rejects_what_no_language_is_near(spark, docs):
+    model = langid.fit(docs)
+    rng = random.Random(4)
+    far = ["これは日本語の文章です。東京は大きな都市であり、多くの人が住んでいます。", "Это предложение на русском языке, и его здесь никто не знает.", " ".join("".join(rng.choice("bcdfghjkqvwxz") for _ in range(9)) for _ in range(40))]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(far)], "doc_id long, text string")
+    assert all(r.rejected for r in langid.predict(rows, model, {"i": F.col("doc_id")}).collect())
+    assert langid.keep_identified(rows.unionByName(docs.select("doc_id", "text")), model).count() == docs.count()
+
+
 def test_op7_pieces_add_up(monkeypatch):
     text = "abcdéfg xyz " * 900
     whole = langid.features(text)
@@ -577,6 +612,32 @@ def test_op10(request, which, parts):
     assert collections.Counter(tuple(r) for r in digest.with_next(df, parts).collect()) == want
 
 
+def brute_digest(text):
+    """From the definition: counts of hashed triplets, quartiles, two bits a bucket."""
+    data = (text or "").encode()
+    counts = [0] * 128
+    for i in range(len(data) - 2):
+        counts[(data[i] | data[i + 1] << 8 | data[i + 2] << 16) * 0x9E3779B1 % 2**32 >> 25] += 1
+    q = [sorted(counts)[k] for k in (31, 63, 95)]
+    codes = [sum(c > x for x in q) for c in counts]
+    packed = [sum(codes[4 * i + k] << 2 * k for k in range(4)) for i in range(32)]
+    length = min(255, int(math.log(len(data)) / math.log(1.15))) if data else 0
+    return bytes([length, sum(c * (2 * i + 1) for i, c in enumerate(counts)) % 251, *packed])
+
+
+def brute_likeness(a, b):
+    steps = [abs((a[2 + i // 4] >> 2 * (i % 4) & 3) - (b[2 + i // 4] >> 2 * (i % 4) & 3)) for i in range(128)]
+    off = sum(6 if s == 3 else s for s in steps) + min(60, 3 * abs(a[0] - b[0])) + (a[1] != b[1])
+    return max(0.0, 1 - off / 160)
+
+
+def test_op10_equals_brute_force(docs, odd):
+    texts = [r.text for df in (docs, odd) for r in df.select("text").collect() if len(r.text or "") < 4000]
+    own = [(digest.digest(t), brute_digest(t)) for t in texts]
+    assert all(a == b for a, b in own)
+    assert all(digest.likeness(a, b) == brute_likeness(a, b) for (a, _), (b, _) in itertools.pairwise(own))
+
+
 def test_op10_likeness():
     a, b = digest.digest("some text of ordinary words " * 9), digest.digest("")
     assert digest.likeness(a, a) == 1 and 0 <= digest.likeness(a, b) <= 1

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import small_batches
+from ._shared import small_batches, written
 
 DIMS = 1 << 13
 ORDERS = (1, 2, 3)
@@ -60,8 +60,9 @@ def fit(docs: DataFrame, label: str = "lang", text: str = "text", per_label: int
     """The model from about ``per_label`` different texts of each label.
 
     Sampling: texts whose hash lies below per_label over the (approximate) number
-    of the label's texts, one row each. The driver gets the labels' counts and
-    the sample's vectors, no text.
+    of the label's texts, one row each. Each label's centroids are fitted in a
+    task of their own, from its sample alone. The driver gets the labels' counts,
+    a number for each of the ``DIMS`` n-grams, and the centroids, no text.
     """
     small_batches(docs.sparkSession)
     rows = docs.where(F.col(label).isNotNull() & F.col(text).rlike(r"\p{L}")).select(F.col(label).cast("string").alias("label"), F.col(text).alias("text"), F.xxhash64(F.col(text), F.lit(seed)).alias("hash"))
@@ -72,26 +73,37 @@ def fit(docs: DataFrame, label: str = "lang", text: str = "text", per_label: int
     draw = F.shiftrightunsigned("hash", 11) / F.lit(float(1 << 53))
     sample = rows.where(draw < share[F.col("label")]).groupBy("label", "hash").agg(F.min("text").alias("text")).select("label", "text")
 
-    def run(batches):
+    def count(batches):
         for batch in batches:
             vec = [features(t.as_py()).astype("<u4").tobytes() for t in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(vec, pa.binary())], ["label", "vec"])
 
-    got = sorted((r.label, bytes(r.vec)) for r in sample.mapInArrow(run, "label string, vec binary").collect())
-    labels = np.array([g[0] for g in got])
-    counted = np.array([np.frombuffer(g[1], "<u4") for g in got])
-    idf = np.log((1 + len(got)) / (1 + (counted > 0).sum(0))).astype(np.float32) + 1
-    x = _weighted(counted, idf)
-    centroids, owners, least = [], [], []
-    rng = np.random.default_rng(seed)
-    for name in sorted(set(labels)):
-        own = x[labels == name]
-        c = _clusters(own, min(clusters, len(own)), rng)
+    def held(batches):
+        n, df = 0, np.zeros(DIMS, np.int64)
+        for batch in batches:
+            for v in batch.column(0):
+                df += np.frombuffer(v.as_buffer(), "<u4") > 0
+                n += 1
+        at = np.flatnonzero(df)
+        yield pa.RecordBatch.from_arrays([pa.array(np.append(at, DIMS)), pa.array(np.append(df[at], n))], ["dim", "n"])
+
+    vectors = written(sample.mapInArrow(count, "label string, vec binary"), "sample")
+    df = np.zeros(DIMS + 1, np.int64)  # the last one counts the texts
+    for r in vectors.select("vec").mapInArrow(held, "dim long, n long").groupBy("dim").agg(F.sum("n").alias("n")).collect():
+        df[r.dim] = r.n
+    idf = np.log((1 + df[-1]) / (1 + df[:-1])).astype(np.float32) + 1
+
+    def cluster(table: pa.Table) -> pa.Table:
+        vec = sorted(table.column("vec").to_pylist())
+        own = _weighted(np.array([np.frombuffer(v, "<u4") for v in vec]), idf)
+        c = _clusters(own, min(clusters, len(own)), np.random.default_rng(seed))
         near = (own @ c.T).max(1)
-        centroids.append(c)
-        owners += [name] * len(c)
-        least.append(float(max(0.0, near.mean() - 6 * near.std()) / 2))
-    return {"labels": owners, "centroids": np.concatenate(centroids), "idf": idf, "least": dict(zip(sorted(set(labels)), least, strict=True))}
+        least = float(max(0.0, near.mean() - 6 * near.std()) / 2)
+        return pa.table({"label": [table.column("label")[0].as_py()], "k": pa.array([len(c)], pa.int32()), "c": pa.array([c.astype("<f4").tobytes()], pa.binary()), "least": [least]})
+
+    got = sorted(vectors.groupBy("label").applyInArrow(cluster, "label string, k int, c binary, least double").collect())
+    centroids = np.concatenate([np.frombuffer(r.c, "<f4").reshape(r.k, DIMS) for r in got])
+    return {"labels": [r.label for r in got for _ in range(r.k)], "centroids": centroids, "idf": idf, "texts": int(df[-1]), "least": {r.label: r.least for r in got}}
 
 
 def _clusters(x: np.ndarray, k: int, rng) -> np.ndarray:
