@@ -164,11 +164,12 @@ def put_ids(ids: DataFrame, tag: str) -> str:
     return path
 
 
-def with_ids(rows: DataFrame, path: str) -> DataFrame:
+def with_ids(rows: DataFrame, path: str, then=None, schema=None) -> DataFrame:
     """The rows whose uid is in the folder's files, which workers map; the rows stay where they are.
 
     A semi-join would shuffle whole texts, or broadcast a list that grows with
-    them. A task reads the files of its own rows alone.
+    them. A task reads the files of its own rows alone. then: takes the batches
+    further in the same worker, to rows of ``schema``.
     """
     at = rows.columns.index("uid")
 
@@ -189,7 +190,7 @@ def with_ids(rows: DataFrame, path: str) -> DataFrame:
                     keep[own] = among(uid[own], ids)
             yield b.filter(pa.array(keep))
 
-    return rows.mapInArrow(run, rows.schema)
+    return rows.mapInArrow(run if then is None else lambda batches: then(run(batches)), schema or rows.schema)
 
 
 def components(edges: DataFrame) -> DataFrame:
