@@ -117,6 +117,62 @@ def test_ooxml_round_trip(spark):
     texts = [r.text for r in X.ooxml_segments(X.ooxml_with(files, red)).collect()]
     assert sorted(t for t in texts if t) == ["【手机号】", "电话【手机号】"]
     assert X.ref_of(*X.cell_ref("AB2")) == "AB2"
+    back = X.ooxml_segments(X.ooxml_with(X.ooxml_with(files, red), red, restored=True)).collect()
+    assert sorted((r.text or "" for r in back)) == sorted((r.text or "" for r in red.collect()))
+
+
+def test_ooxml_keeps_what_nothing_was_found_in(spark):
+    """A number, a formatted paragraph without findings, and formats inside a changed one stay."""
+    ns = 'xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main" xmlns:r="http://schemas.openxmlformats.org/officeDocument/2006/relationships"'
+    plain = '<w:p><w:r><w:t>plain </w:t></w:r><w:r><w:rPr><w:b /></w:rPr><w:t>bold</w:t></w:r></w:p>'
+    w = f'<w:document {ns}><w:body>{plain}<w:p><w:r><w:t>电话1380</w:t></w:r><w:r><w:rPr><w:b /></w:rPr><w:t>0138000请回</w:t></w:r></w:p></w:body></w:document>'
+    x = '<worksheet xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"><sheetData><row><c r="A1"><v>42.5</v></c><c r="B1" t="inlineStr"><is><t>13800138000</t></is></c></row></sheetData></worksheet>'
+
+    def zipped(name, body):
+        b = io.BytesIO()
+        with zipfile.ZipFile(b, "w") as z:
+            z.writestr(name, body)
+        return b.getvalue()
+
+    files = spark.createDataFrame([("a.docx", zipped("word/document.xml", w)), ("b.xlsx", zipped("xl/worksheets/sheet1.xml", x)), ("c.docx", zipped("word/document.xml", f'<w:document {ns}>{plain}</w:document>'))], "path string, content binary")
+    out = {r.path: r.content for r in X.ooxml_with(files, R.redact(X.ooxml_segments(files))).collect()}
+    part = lambda path, name: zipfile.ZipFile(io.BytesIO(out[path])).read(name).decode()
+    doc, sheet = part("a.docx", "word/document.xml"), part("b.xlsx", "xl/worksheets/sheet1.xml")
+    assert plain in doc and "ns0" not in doc + sheet and "<w:b />" in doc.split(plain)[1]
+    assert "".join(re.findall("<w:t[^>]*>([^<]*)", doc.split(plain)[1])) == "电话【手机号】请回"
+    assert '<c r="A1"><v>42.5</v></c>' in sheet and "【手机号】" in sheet
+    assert out["c.docx"] == {r.path: r.content for r in files.collect()}["c.docx"]
+
+
+def test_edits_are_dealt_over_runs():
+    assert X.spread(["ab", "cd", "ef"], [(1, 5, "XYZW")]) == ["aX", "YZ", "Wf"]
+    assert X.spread(["ab", "cd"], [(0, 1, ""), (2, 4, "Q")]) == ["b", "Q"]
+    assert X.spread(["138", "0013", "8000"], [(0, 11, "【手机号】")]) == ["【", "手机", "号】"]
+
+
+def test_files_of_one_name_are_refused(spark, tmp_path):
+    rows = spark.createDataFrame([("a/x.txt", b"1"), ("b/x.txt", b"2")], "name string, content binary")
+    assert X.write_files(rows, str(tmp_path)) == 2 and (tmp_path / "b/x.txt").read_bytes() == b"2"
+    for bad in (rows.union(rows), spark.createDataFrame([("../x", b"1")], "name string, content binary")):
+        with pytest.raises(ValueError):
+            X.write_files(bad, str(tmp_path))
+
+
+def test_places_of_terms(spark):
+    df = spark.createDataFrame([("aaa.b\\\\Ea aaa😊aa", 1), ("", 2), ("b" * 80_000 + "a", 3)], "text string, i int")
+    terms = ["aa", "\\\\E", ".b", "a"]
+    for r in df.select("text", S.located(F.col("text"), F.array(*map(F.lit, terms))).alias("p")).collect():
+        assert [(p.start, p.text) for p in r.p] == [(i, t) for t in terms for i in range(len(r.text)) if r.text.startswith(t, i)]
+
+
+def test_line_type_follows_the_files_order(spark):
+    df = spark.createDataFrame([("(2024)京0101民初12号 电话13812345678",)], "text string")
+    assert df.select(D.line_type(F.col("text"))).first()[0] == "PHONE"
+
+
+def test_clashing_columns_are_refused(spark):
+    with pytest.raises(ValueError, match="spans"):
+        R.redact(spark.createDataFrame([("x", 1)], "text string, spans int"))
 
 
 def test_gate_and_review(spark):
@@ -144,7 +200,7 @@ def test_stream(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "out")).first().redacted_text == "电话【手机号】"
 
 
-@pytest.mark.parametrize("name", ["resolve_overlaps", "redacted_text", "entities", "decisions_apply", "org_gate", "address_merge", "ocr_span_lines", "seal_boxes", "residual_categories", "line_types", "token_windows", "window_tags", "run_shares", "annotation_checks"])
+@pytest.mark.parametrize("name", ["resolve_overlaps", "redacted_text", "entities", "decisions_apply", "org_gate", "address_merge", "ocr_span_lines", "seal_boxes", "residual_categories", "line_types", "token_windows", "window_tags", "run_shares", "annotation_checks", "eval_boundaries", "audit_totals"])
 def test_queries_equal_their_sql(spark, name):
     d = "/root/testdata/sf0.001"
     c = duckdb.connect()

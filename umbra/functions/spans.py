@@ -54,8 +54,13 @@ def located(text: Column, terms: Column) -> Column:
     """Every place of every term, overlapping ones too: array<struct(start, end, text)>."""
 
     def places(term: Column) -> Column:
-        at = F.filter(F.sequence(F.lit(1), F.greatest(F.length(text), F.lit(1))), lambda i: F.substring(text, i, F.length(term)) == term)
-        return F.transform(at, lambda i: F.struct((i - 1).alias("start"), (i - 1 + F.length(term)).alias("end"), term.alias("text")))
+        # The text is cut before every place: running lengths of the pieces are the places.
+        quoted = F.concat(F.lit("(?=\\Q"), F.replace(term, F.lit("\\E"), F.lit("\\E\\\\E\\Q")), F.lit("\\E)"))
+        sizes = F.transform(F.split(text, quoted, -1), F.length)
+        first = F.when(F.startswith(text, term), F.array(F.lit(0))).otherwise(F.array().cast("array<int>"))
+        inner = F.slice(sizes, 1, F.size(sizes) - 1)
+        at = F.aggregate(inner, F.struct(F.lit(0).alias("n"), first.alias("at")), lambda acc, n: F.struct((acc["n"] + n).alias("n"), F.concat(acc["at"], F.array(acc["n"] + n)).alias("at")), lambda acc: acc["at"])
+        return F.transform(at, lambda i: F.struct(i.alias("start"), (i + F.length(term)).alias("end"), term.alias("text")))
 
     return F.flatten(F.transform(F.filter(terms, lambda t: (t != "") & F.contains(text, t)), places))
 

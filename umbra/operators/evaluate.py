@@ -9,16 +9,24 @@ from pyspark.sql import functions as F
 def matched(gold: DataFrame, pred: DataFrame, key: str = "ann_id") -> DataFrame:
     """Per type: tp, fp, fn, boundary_errors, precision, recall, f1.
 
-    Spans (key, entity_type, start, end) match one to one by equal bounds; a
-    prediction left over that overlaps a gold span left over of its type is a
-    boundary error, and stays a false positive and a false negative.
+    Spans (key, entity_type, start, end) match one to one by equal bounds. Of
+    those left over, each gold span in order takes the first free prediction of
+    its type that overlaps it: a boundary error, which stays a false positive and
+    a false negative.
     """
     on = [key, "entity_type", "start", "end"]
     number = lambda d: d.withColumn("_n", F.row_number().over(Window.partitionBy(*on).orderBy(F.lit(1))))
     both = number(gold).withColumn("_g", F.lit(True)).join(number(pred).withColumn("_p", F.lit(True)), [*on, "_n"], "full")
-    rest_g, rest_p = both.where("_p is null").alias("g"), both.where("_g is null").alias("p")
-    touch = (F.col(f"g.{key}") == F.col(f"p.{key}")) & (F.col("g.entity_type") == F.col("p.entity_type")) & (F.col("g.start") < F.col("p.end")) & (F.col("p.start") < F.col("g.end"))
-    near = rest_p.join(rest_g, touch, "left_semi").groupBy("entity_type").agg(F.count(F.lit(1)).alias("boundary_errors"))
+    of = lambda side: F.array_sort(F.collect_list(F.when(F.col(side).isNull(), F.struct("start", "end", "_n"))))
+    left = both.where("_g is null or _p is null").groupBy(key, "entity_type").agg(of("_p").alias("g"), of("_g").alias("p"))
+
+    def take(acc: Column, g: Column) -> Column:
+        hit = F.get(F.filter(acc["free"], lambda p: (g["start"] < p["end"]) & (p["start"] < g["end"])), F.lit(0))
+        free = F.when(hit.isNull(), acc["free"]).otherwise(F.filter(acc["free"], lambda p: p != hit))
+        return F.struct(free.alias("free"), (acc["n"] + F.when(hit.isNull(), 0).otherwise(1)).alias("n"))
+
+    errors = F.aggregate("g", F.struct(F.col("p").alias("free"), F.lit(0).alias("n")), take, lambda acc: acc["n"])
+    near = left.groupBy("entity_type").agg(F.sum(errors).alias("boundary_errors"))
     n = both.groupBy("entity_type").agg(F.count(F.when(F.col("_g") & F.col("_p"), 1)).alias("tp"), F.count(F.when(F.col("_g").isNull(), 1)).alias("fp"), F.count(F.when(F.col("_p").isNull(), 1)).alias("fn"))
     return scored(n.join(near, "entity_type", "left").fillna(0, ["boundary_errors"]))
 

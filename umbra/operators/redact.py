@@ -25,6 +25,8 @@ def numbered_prefix(entity_type: Column, number: Column, types: list[str]) -> Co
 
 def redact(segments: DataFrame, policy: Policy = LABOR, rules: list[Rule] | None = None, extra: Column | None = None, text: str = "text") -> DataFrame:
     """Adds redacted_text and occurrences to what ``detect`` adds."""
+    if taken := {"kept", "dropped", "bare_numbers", "spans", "redacted_text", "occurrences"}.intersection(segments.columns):
+        raise ValueError(f"redact adds columns of these names, rename yours: {', '.join(sorted(taken))}")
     out = D.detect(segments, policy, rules, extra, text)
     out = S.pinned(out, _x=S.replaced(F.col(text), F.col("kept"), label_of(policy)))
     return out.withColumns({"redacted_text": F.col("_x.text"), "occurrences": F.col("_x.occurrences")}).drop("_x")
@@ -83,18 +85,32 @@ def residual(redacted: DataFrame, policy: Policy = LABOR, rules: list[Rule] | No
 
 
 def audit(redacted: DataFrame, doc: str, policy: Policy = LABOR) -> DataFrame:
-    """Per document: entities, occurrences, counts by type and by engine, residual result."""
-    occ = occurrences(redacted, doc)
-    by = occ.groupBy(doc, "entity_type", "engine").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("original").alias("e"))
-
-    def counts(col: str) -> Column:
-        return F.map_from_entries(F.array_sort(F.collect_list(F.struct(col, "n"))))
-
-    types = by.groupBy(doc, "entity_type").agg(F.sum("n").alias("n"), F.sum("e").alias("e"))
-    types = types.groupBy(doc).agg(counts("entity_type").alias("by_entity_type"), F.sum("n").alias("total_occurrences"), F.sum("e").alias("total_entities"))
-    engines = by.groupBy(doc, "engine").agg(F.sum("n").alias("n")).groupBy(doc).agg(counts("engine").alias("by_engine"))
-    left = residual(redacted, policy).groupBy(doc).agg(F.bool_and("residual_passed").alias("residual_passed"), F.sum(F.size("findings")).alias("n_findings"))
-    return left.join(types, doc, "left").join(engines, doc, "left")
+    """Per document: entities, occurrences, counts by type and by engine, residual result.
+
+    One pass: a row of findings and one an occurrence go into the same counts,
+    combined before each shuffle.
+    """
+    r = residual(redacted, policy).select(doc, "residual_passed", F.size("findings").alias("f"), F.posexplode_outer("occurrences").alias("pos", "o"))
+    first = F.coalesce(F.col("pos"), F.lit(0)) == 0
+    keys = [doc, F.col("o.entity_type").alias("t"), F.col("o.engine").alias("e")]
+    seen = r.groupBy(*keys, F.col("o.original").alias("x")).agg(F.count("o").alias("n"), F.sum(F.when(first, F.col("f")).otherwise(0)).alias("f"), F.bool_and("residual_passed").alias("ok"))
+    by = seen.groupBy(doc, "t", "e").agg(F.sum("n").alias("n"), F.count("x").alias("d"), F.sum("f").alias("f"), F.bool_and("ok").alias("ok"))
+    pairs = F.filter(F.collect_list(F.struct("t", "e", "n")), lambda p: p["t"].isNotNull())
+    out = by.groupBy(doc).agg(F.bool_and("ok").alias("residual_passed"), F.sum("f").alias("n_findings"), F.sum("n").alias("total_occurrences"), F.sum("d").alias("total_entities"), pairs.alias("_pairs"))
+
+    def counts(field: str) -> Column:
+        names = F.array_sort(F.array_distinct(F.transform("_pairs", lambda p: p[field])))
+        total = lambda name: F.aggregate(F.filter("_pairs", lambda p: p[field] == name), F.lit(0).cast("long"), lambda acc, p: acc + p["n"])
+        return F.map_from_arrays(names, F.transform(names, total))
+
+    return out.withColumns({"by_entity_type": counts("t"), "by_engine": counts("e")}).drop("_pairs")
+
+
+def engines(occ: DataFrame, doc: str) -> DataFrame:
+    """A row an entity: the engines that found it, distinct, in order of their first place."""
+    first = occ.groupBy(doc, "entity_type", "original", "engine").agg(F.min("pos").alias("p"))
+    listed = F.transform(F.array_sort(F.collect_list(F.struct("p", "engine"))), lambda x: x["engine"])
+    return first.groupBy(doc, "entity_type", "original").agg(listed.alias("engines"))
 
 
 def warnings(redacted: DataFrame, doc: str) -> DataFrame:

@@ -51,18 +51,30 @@ def to_bytes(text: Column, has_bom: Column) -> Column:
 
 
 def write_files(rows: DataFrame, folder: str, name: str = "name", content: str = "content") -> int:
-    """Each row as a file, whole or not at all. ``folder`` is one that all executors share."""
-
-    def put(part):
-        os.makedirs(folder, exist_ok=True)
-        for r in part:
-            tmp = os.path.join(folder, f".{uuid.uuid4().hex}")
-            with open(tmp, "wb") as f:
-                f.write(r[content])
-            os.replace(tmp, os.path.join(folder, os.path.basename(r[name])))
-
-    rows.select(name, content).foreachPartition(put)
-    return rows.count()
+    """Each row as a file below ``folder`` by its relative name, whole or not at all; their number.
+
+    Names that clash, or lead out of the folder, are an error before anything is
+    written. ``folder`` is one that all executors share.
+    """
+    outside = F.rlike(name, F.lit(r"(^|/)\.\.(/|$)")) | F.startswith(name, F.lit("/"))
+    bad = rows.select(name).groupBy(name).count().where((F.col("count") > 1) | outside).limit(1).collect()
+    if bad:
+        raise ValueError(f"two files of one name, or a name outside the folder: {bad[0][name]}")
+
+    def put(batches):
+        n = 0
+        for batch in batches:
+            for at, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                to = os.path.join(folder, at)
+                os.makedirs(os.path.dirname(to), exist_ok=True)
+                tmp = os.path.join(os.path.dirname(to), f".{uuid.uuid4().hex}")
+                with open(tmp, "wb") as f:
+                    f.write(data)
+                os.replace(tmp, to)
+                n += 1
+        yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64())], ["n"])
+
+    return rows.select(name, content).mapInArrow(put, "n long").agg(F.sum("n")).first()[0] or 0
 
 
 # ---- CSV ---------------------------------------------------------------------------------------
@@ -178,20 +190,59 @@ def _repacked(content: bytes, change) -> bytes:
     return out.getvalue()
 
 
-def docx_with(content: bytes, texts: dict[tuple[str, int], str]) -> bytes:
-    """The document with these paragraphs' texts, each in the paragraph's first run."""
+def spread(runs: list[str], edits: list[tuple[int, int, str]]) -> list[str]:
+    """The runs' texts after the edits (ascending, apart, in the runs' joined text).
+
+    What an edit puts in is dealt over the runs that it covers in proportion to
+    what it takes from each; what is left goes to the largest fractions, earlier
+    runs first. So every run keeps its format and what isn't edited stays put.
+    """
+    ends = []
+    for r in runs:
+        ends.append((ends[-1] if ends else 0) + len(r))
+    out = [list(r) for r in runs]
+    for start, end, new in reversed(edits):
+        over = [(k, max(start, e - len(runs[k])), min(end, e)) for k, e in enumerate(ends) if e - len(runs[k]) < end and start < e]
+        total = sum(b - a for _, a, b in over)
+        exact = [len(new) * (b - a) / total for _, a, b in over]
+        size = [int(x) for x in exact]
+        for k in sorted(range(len(over)), key=lambda k: (size[k] - exact[k], k))[: len(new) - sum(size)]:
+            size[k] += 1
+        at = len(new)
+        for (k, a, b), n in zip(reversed(over), reversed(size), strict=True):
+            first = ends[k] - len(runs[k])
+            out[k][a - first : b - first] = list(new[at - n : at])
+            at -= n
+    return ["".join(r) for r in out]
+
+
+def _edited(data: bytes, change) -> bytes:
+    """A part after ``change`` of its tree; its namespaces keep their prefixes."""
+    for _, (prefix, uri) in ET.iterparse(io.BytesIO(data), events=("start-ns",)):
+        if not re.fullmatch(r"ns\d+", prefix):
+            ET.register_namespace(prefix, uri)
+    root = ET.fromstring(data)
+    change(root)
+    return ET.tostring(root, "utf-8", xml_declaration=True)
+
+
+def docx_with(content: bytes, edits: dict[tuple[str, int], list[tuple[int, int, str]]]) -> bytes:
+    """The document with these edits of its paragraphs; formats stay, other parts and paragraphs are as they were."""
 
     def change(name: str, data: bytes) -> bytes:
-        if not any(part == name for part, _ in texts):
+        if not any(part == name for part, _ in edits):
             return data
-        root = ET.fromstring(data)
-        for i, p in enumerate(root.iter(f"{_W}p")):
-            if (name, i) in texts:
-                nodes = [t for r in p.iter(f"{_W}r") for t in r.findall(f"{_W}t")[:1]]
-                for k, t in enumerate(nodes):
-                    t.text = texts[name, i] if k == 0 else ""
-                    t.set("{http://www.w3.org/XML/1998/namespace}space", "preserve")
-        return ET.tostring(root, "utf-8", xml_declaration=True)
+
+        def paragraphs(root):
+            for i, p in enumerate(root.iter(f"{_W}p")):
+                if (name, i) in edits:
+                    nodes = [t for r in p.iter(f"{_W}r") for t in r.findall(f"{_W}t")[:1]]
+                    for t, text in zip(nodes, spread([t.text or "" for t in nodes], edits[name, i]), strict=True):
+                        if text != (t.text or ""):
+                            t.text = text
+                            t.set("{http://www.w3.org/XML/1998/namespace}space", "preserve")
+
+        return _edited(data, paragraphs)
 
     return _repacked(content, change)
 
@@ -226,15 +277,17 @@ def xlsx_with(content: bytes, texts: dict[tuple[str, int, int], str]) -> bytes:
         m = _SHEET.match(name)
         if not m or not any(s == m[1] for s, _, _ in texts):
             return data
-        root = ET.fromstring(data)
-        for c in root.iter(f"{_X}c"):
-            at = (m[1], *cell_ref(c.get("r")))
-            if at in texts and c.find(f"{_X}f") is None:
-                for child in list(c):
-                    c.remove(child)
-                c.set("t", "inlineStr")
-                ET.SubElement(ET.SubElement(c, f"{_X}is"), f"{_X}t").text = texts[at]
-        return ET.tostring(root, "utf-8", xml_declaration=True)
+
+        def cells(root):
+            for c in root.iter(f"{_X}c"):
+                at = (m[1], *cell_ref(c.get("r")))
+                if at in texts and c.find(f"{_X}f") is None:
+                    for child in list(c):
+                        c.remove(child)
+                    c.set("t", "inlineStr")
+                    ET.SubElement(ET.SubElement(c, f"{_X}is"), f"{_X}t").text = texts[at]
+
+        return _edited(data, cells)
 
     return _repacked(content, change)
 
@@ -257,18 +310,25 @@ def ooxml_segments(files: DataFrame) -> DataFrame:
     return files.select("path", "content").mapInArrow(run, "path string, part string, row int, col int, text string, is_formula boolean")
 
 
-def ooxml_with(files: DataFrame, segments: DataFrame, text: str = "redacted_text") -> DataFrame:
-    """path, content: the files with these segments' texts (redacted or restored)."""
-    new = segments.where(F.col(text).isNotNull() & ~F.col("is_formula")).groupBy("path").agg(F.collect_list(F.struct("part", "row", "col", F.col(text).alias("text"))).alias("s"))
+def ooxml_with(files: DataFrame, segments: DataFrame, restored: bool = False) -> DataFrame:
+    """path, content: the files with their segments redacted, or restored by the same map.
+
+    segments: text, redacted_text and occurrences of ``redact``. Only what differs
+    is written; files and cells without a finding are byte for byte as they were.
+    """
+    cols = ["redacted_start", "redacted_end", "original"] if restored else ["original_start", "original_end", "replacement"]
+    edits = F.array_sort(F.transform("occurrences", lambda o: F.struct(*(o[c].alias(n) for c, n in zip(cols, ("a", "b", "new"), strict=True)))))
+    changed = segments.where(~F.col("is_formula") & (F.col("redacted_text") != F.col("text")))
+    new = changed.groupBy("path").agg(F.collect_list(F.struct("part", "row", "col", F.col("text" if restored else "redacted_text").alias("text"), edits.alias("edits"))).alias("s"))
 
     def run(batches):
         for b in batches:
             out = []
             for path, content, s in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
-                if path.endswith(".docx"):
-                    content = docx_with(content, {(x["part"], x["row"]): x["text"] for x in s or ()})
-                else:
-                    content = xlsx_with(content, {(x["part"], x["row"], x["col"]): x["text"] for x in s or ()})
+                if s and path.endswith(".docx"):
+                    content = docx_with(content, {(x["part"], x["row"]): [(e["a"], e["b"], e["new"]) for e in x["edits"]] for x in s})
+                elif s:
+                    content = xlsx_with(content, {(x["part"], x["row"], x["col"]): x["text"] for x in s})
                 out.append(content)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.binary())], ["path", "content"])
 
