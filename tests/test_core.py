@@ -13,6 +13,7 @@ from umbra.operators import evaluate as E
 from umbra.operators import gate as G
 from umbra.operators import names as N
 from umbra.operators import redact as R
+from umbra.plans import cases  # noqa: F401
 from umbra.plans import queries as Q
 from umbra.rules import LABOR, RULES, STRICT, resolve_policy, scan_order
 from umbra.sources import files as X
@@ -200,11 +201,11 @@ def test_stream(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "out")).first().redacted_text == "电话【手机号】"
 
 
-@pytest.mark.parametrize("name", ["resolve_overlaps", "redacted_text", "entities", "decisions_apply", "org_gate", "address_merge", "ocr_span_lines", "seal_boxes", "residual_categories", "line_types", "token_windows", "window_tags", "run_shares", "annotation_checks", "eval_boundaries", "audit_totals"])
+@pytest.mark.parametrize("name", ["resolve_overlaps", "redacted_text", "entities", "decisions_apply", "org_gate", "address_merge", "ocr_span_lines", "seal_boxes", "residual_categories", "line_types", "token_windows", "window_tags", "run_shares", "annotation_checks", "eval_boundaries", "audit_totals", "batch_case", "page_map_merge", "page_estimates", "address_merge_short_gaps", "export_span_union", "longest_original_first", "decision_locators", "decision_verification", "decision_invariants", "allowlist_union", "type_memberships"])
 def test_queries_equal_their_sql(spark, name):
     d = "/root/testdata/sf0.001"
     c = duckdb.connect()
-    for t in "customer supplier part orders documents conversations pages benchmark".split():
+    for t in "nation region customer supplier part orders lineitem documents conversations pages benchmark".split():
         c.execute(f"create view {t} as select * from '{d}/{t}.parquet'")
     q = c.execute(Q.SQL[name])
     cols = [x[0] for x in q.description]
