@@ -42,6 +42,15 @@ def written(df: DataFrame, tag: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def remove(*tables: DataFrame | str | None) -> None:
+    """Deletes written tables and folders that nothing reads any more."""
+    spark = SparkSession.active()
+    for t in tables:
+        for path in [] if t is None else [t] if isinstance(t, str) else sorted({f.rpartition("/")[0] for f in t.inputFiles()}):
+            at = spark._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def small_batches(spark: SparkSession, rows: int = 1000, size: str = "8m") -> None:
     """Bound an Arrow batch of whole texts by rows and bytes (session settings); one longer text is a batch."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
@@ -189,6 +198,7 @@ def with_ids(rows: DataFrame, path: str, then=None, schema=None) -> DataFrame:
                     own = uid >> 33 == part
                     keep[own] = among(uid[own], ids)
             yield b.filter(pa.array(keep))
+        pa.default_memory_pool().release_unused()
 
     return rows.mapInArrow(run if then is None else lambda batches: then(run(batches)), schema or rows.schema)
 
@@ -202,7 +212,6 @@ def components(edges: DataFrame) -> DataFrame:
     grouped minimum with map-side combination. Edges may repeat and may join a
     node to itself; an empty table gives an empty result.
     """
-    spark = edges.sparkSession
     both = written(
         edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges"
     )
@@ -219,6 +228,8 @@ def components(edges: DataFrame) -> DataFrame:
         changed = (
             jumped.join(labels.withColumnRenamed("root", "was"), "node").where("root <> was").limit(1).count()
         )
+        remove(labels, spread)
         labels = jumped
         if not changed:
+            remove(both)
             return labels
