@@ -9,6 +9,7 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -17,6 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _own: list[str] = []
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -35,10 +37,22 @@ def fresh_dir(spark: SparkSession, tag: str) -> str:
     return f"{shared_dir(spark)}/umbra-{tag}-{uuid.uuid4().hex[:12]}"
 
 
+@contextmanager
+def tidy(spark: SparkSession):
+    """A query that ends in here takes its shuffle files with it; else they stay until the driver collects garbage."""
+    before = spark.conf.get(CLEANUP)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(CLEANUP, before)
+
+
 def written(df: DataFrame, tag: str) -> DataFrame:
     """``df`` as a table in the shared folder: lineage cut, computed once."""
     path = fresh_dir(df.sparkSession, tag)
-    df.write.parquet(path)
+    with tidy(df.sparkSession):
+        df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -169,7 +183,8 @@ def put_ids(ids: DataFrame, tag: str) -> str:
         return pa.table({"n": pa.array([len(uid)], pa.int64())})
 
     parts = ids.select("uid", F.shiftright("uid", 33).alias("part"))
-    parts.groupBy("part").applyInArrow(write, "n long").agg(F.sum("n")).collect()
+    with tidy(ids.sparkSession):
+        parts.groupBy("part").applyInArrow(write, "n long").agg(F.sum("n")).collect()
     return path
 
 
