@@ -590,6 +590,26 @@ def test_ranges_leave_no_trace_in_the_plan(docs, n):
     assert len(sizes) == 8 and max(sizes) < 0.4 * sum(sizes)
 
 
+def test_op9_encoders_leave_no_memory():
+    """A worker's tasks load an encoder each; the library's cache of one stayed, some 4 MB."""
+
+    def held():
+        with open("/proc/self/smaps_rollup") as f:
+            return sum(int(x.split()[1]) for x in f if x.startswith(("Pss_Anon", "Pss_Shmem"))) / 1024
+
+    def encode():
+        return tokenbin.Encoder(tokenizer_path())(words)
+
+    words = ["".join(map(chr, w)) for w in np.random.default_rng(3).integers(97, 123, (20_000, 8)).tolist()]
+
+    for _ in range(3):
+        encode()
+    before = held()
+    for _ in range(15):
+        encode()
+    assert held() - before < 30
+
+
 def test_op9_encoder_equals_the_library():
     enc, rng = tokenbin.Encoder(tokenizer_path()), random.Random(2)
     parts = [*"ab1.,' \n\t\xa0é½漢", "'s", "  ", " \n", "<|endoftext|>", "don't", " ª"]

@@ -79,7 +79,10 @@ class Encoder:
             odd, simple, full = re.compile(NOT_SIMPLE).search, re.compile(SIMPLE).findall, regex.compile(PRETOKEN).findall
             self.split = lambda text: full(text) if odd(text) else simple(text)
         self.bits = max(1, (self.tok.get_vocab_size(with_added_tokens=True) - 1).bit_length())
-        self.cache = _Cache(self.tok)
+        model = self.tok.model
+        if self.split is not None and hasattr(model, "_resize_cache"):
+            model._resize_cache(0)  # the library's own cache of words outlives its model: some 4 MB for each task of a worker
+        self.cache = _Cache(model)
 
     def _whole(self, text: str) -> bytes:
         return np.array(self.tok.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
@@ -95,9 +98,9 @@ class Encoder:
 class _Cache(dict):
     """Pre-token -> its ids, from its bytes in their printable form."""
 
-    def __init__(self, tok):
+    def __init__(self, model):
         super().__init__()
-        self.tokenize = tok.model.tokenize
+        self.tokenize = model.tokenize
 
     def __missing__(self, piece: str) -> bytes:
         shown = piece.encode("utf-8", "surrogatepass").decode("latin-1").translate(_SHOWN)
