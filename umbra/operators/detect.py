@@ -2,9 +2,15 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import masks as M
+from ..functions import scanner as B
 from ..functions import spans as S
 from ..rules import BANK_CONTEXT, LABOR, RULES, TIME_PATTERN, Policy, Rule, scan_order
 
@@ -36,22 +42,56 @@ def rule_spans(text: Column, rules: list[Rule] | None = None, digits: Column | N
     return S.numbered(F.flatten(F.array(*parts)))
 
 
+#: What moves rows in a plan: its output is spread over tasks already.
+_MOVES = re.compile(r"^[ :+-]*(Repartition|RebalancePartitions|Join|Aggregate|Window|Sort|Distinct|Deduplicate|GlobalLimit)", re.M)
+
+
 def balanced(segments: DataFrame) -> DataFrame:
     """The rows over all cores, where the input has fewer splits than there are cores.
 
     Patterns cost far more than moving a small input; a large one has splits
-    enough and stays where it is.
+    enough and stays where it is, as does one that was moved before.
     """
-    if segments.isStreaming:
+    if segments.isStreaming or _MOVES.search(segments._jdf.queryExecution().optimizedPlan().toString()):
         return segments
     cores = segments.sparkSession.sparkContext.defaultParallelism
     return segments.repartition(cores) if segments.rdd.getNumPartitions() < cores else segments
 
 
-def with_rule_spans(segments: DataFrame, rules: list[Rule] | None = None, text: str = "text") -> DataFrame:
-    """Adds ``spans``. The digit test is shared by the digit rules."""
+def _in_batches(rules: list[Rule]) -> bool:
+    """Whether Python's ``re`` takes all the patterns; others are column expressions."""
+    try:
+        return all(re.compile(r.pattern) for r in rules)
+    except re.error:
+        return False
+
+
+def _batched(detector: B.Detector, kind: str, text: Column, extra: Column | None = None) -> Column:
+    """The detector over batches of texts in Python workers."""
+    if extra is None:
+
+        def alone(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+            ready = detector.prepare()
+            yield from map(ready, batches)
+
+        return F.arrow_udf(alone, kind)(text)
+
+    def both(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        ready = detector.prepare()
+        yield from (ready(*x) for x in batches)
+
+    return F.arrow_udf(both, kind)(text, extra.cast(S.SPANS))
+
+
+def with_rule_spans(segments: DataFrame, rules: list[Rule] | None = None, text: str = "text", off: frozenset[str] = frozenset(), name: str = "spans") -> DataFrame:
+    """Adds ``spans`` (or ``name``), without those of the types in ``off``."""
+    order = scan_order(rules)
+    if _in_batches(order):
+        return S.pinned(balanced(segments), **{name: _batched(B.Detector(order, off=off, plain=True), S.SPANS, F.col(text))})
+    # The digit test is shared by the digit rules.
     out = S.pinned(balanced(segments), _digits=F.rlike(F.col(text), F.lit(_DIGITS)))
-    return S.pinned(out, spans=F.coalesce(rule_spans(F.col(text), rules, F.col("_digits")), S.none())).drop("_digits")
+    spans = F.coalesce(rule_spans(F.col(text), rules, F.col("_digits")), S.none())
+    return S.pinned(out, **{name: F.filter(spans, lambda s: ~s["entity_type"].isin(sorted(off))) if off else spans}).drop("_digits")
 
 
 def time_spans(text: Column, spans: Column) -> Column:
@@ -82,9 +122,14 @@ def without_first_years(text: Column, spans: Column) -> Column:
     )
 
 
+def types_off(policy: Policy) -> frozenset[str]:
+    """Types that the policy leaves: unknown ones are redacted."""
+    return frozenset(t for t in (*policy.preserved, *policy.overrides) if not policy.redacts(t))
+
+
 def types_kept(spans: Column, policy: Policy) -> Column:
-    """The policy's spans: unknown types are redacted."""
-    off = sorted({t for t in (*policy.preserved, *policy.overrides) if not policy.redacts(t)})
+    """The policy's spans."""
+    off = sorted(types_off(policy))
     return F.filter(spans, lambda s: ~s["entity_type"].isin(off)) if off else spans
 
 
@@ -92,12 +137,33 @@ def without_short_addresses(spans: Column) -> Column:
     return F.filter(spans, lambda s: ~((s["entity_type"] == "ADDRESS") & (F.length(s["text"]) <= 3) & ~F.rlike(s["text"], F.lit("[省市区县镇乡路街号村]"))))
 
 
-def detect(segments: DataFrame, policy: Policy = LABOR, rules: list[Rule] | None = None, extra: Column | None = None, text: str = "text") -> DataFrame:
+DETECTED = ("bare_numbers", "spans", "kept", "dropped")
+_KINDS = {**dict.fromkeys(DETECTED, S.SPANS), "redacted_text": "string", "occurrences": f"array<{S.OCCURRENCE}>", "n_entities": "int"}
+
+
+def detect(segments: DataFrame, policy: Policy = LABOR, rules: list[Rule] | None = None, extra: Column | None = None, text: str = "text", wanted: tuple[str, ...] = DETECTED, labels: dict[str, str] | None = None) -> DataFrame:
     """Adds kept (by start, policy applied), dropped, bare_numbers, spans (all, before resolution).
 
     extra: spans of other engines, to be resolved with the rules'. A null text
-    has no spans. Each step is computed once a row; nothing shuffles.
+    has no spans. Each text is gone through once; nothing shuffles. wanted: the
+    columns to add, in this order; with labels also redacted_text, occurrences, n_entities.
     """
+    order = scan_order(rules)
+    if not _in_batches(order):
+        out = _detected_by_columns(segments, policy, rules, extra, text)
+        if labels is not None:
+            out = S.pinned(out, _x=S.replaced(F.col(text), F.col("kept"), lambda s: M.mapped(labels, s["entity_type"], F.concat(F.lit("【"), s["entity_type"], F.lit("】")))))
+            pairs = F.transform("_x.occurrences", lambda o: F.struct(o["entity_type"], o["original"]))
+            out = out.withColumns({"redacted_text": F.col("_x.text"), "occurrences": F.col("_x.occurrences"), "n_entities": F.size(F.array_distinct(pairs))})
+        return out.select(*(c for c in segments.columns if c not in wanted), *wanted)
+    detector = B.Detector(order, policy.redacts("TIME"), types_off(policy), labels, tuple(wanted))
+    kind = "struct<" + ",".join(f"{c}:{_KINDS[c]}" for c in wanted) + ">"
+    out = S.pinned(balanced(segments), _d=_batched(detector, kind, F.col(text), extra))
+    return out.select(*(c for c in segments.columns if c not in wanted), *(F.col(f"_d.{c}").alias(c) for c in wanted))
+
+
+def _detected_by_columns(segments: DataFrame, policy: Policy, rules: list[Rule] | None, extra: Column | None, text: str) -> DataFrame:
+    """``detect`` as column expressions, for patterns that only Java takes. Each step is computed once a row."""
     t = F.col(text)
     out = with_rule_spans(segments, rules, text)
     if extra is not None:

@@ -2,20 +2,22 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import masks as M
+from ..functions import scanner as B
 from ..functions import spans as S
 from ..rules import LABOR, STRICT, Policy, Rule, label_prefix
 from . import detect as D
 
 
-def label_of(policy: Policy):
-    """span -> its label under the policy."""
-    known = sorted({*policy.labels, *LABOR.labels, *STRICT.labels, "LOC", "LOCATION", "PER"})
-    table = {t: policy.label(t) for t in known}
-    return lambda s: M.mapped(table, s["entity_type"], F.concat(F.lit("【"), s["entity_type"], F.lit("】")))
+def labels_of(policy: Policy) -> dict[str, str]:
+    """Type -> its label under the policy; others stand in brackets."""
+    return {t: policy.label(t) for t in sorted({*policy.labels, *LABOR.labels, *STRICT.labels, "LOC", "LOCATION", "PER"})}
 
 
 def numbered_prefix(entity_type: Column, number: Column, types: list[str]) -> Column:
@@ -23,13 +25,14 @@ def numbered_prefix(entity_type: Column, number: Column, types: list[str]) -> Co
     return F.concat(M.mapped({t: label_prefix(t) for t in types}, entity_type, entity_type), number.cast("string"))
 
 
-def redact(segments: DataFrame, policy: Policy = LABOR, rules: list[Rule] | None = None, extra: Column | None = None, text: str = "text") -> DataFrame:
-    """Adds redacted_text and occurrences to what ``detect`` adds."""
-    if taken := {"kept", "dropped", "bare_numbers", "spans", "redacted_text", "occurrences"}.intersection(segments.columns):
+ADDED = (*D.DETECTED, "redacted_text", "occurrences")
+
+
+def redact(segments: DataFrame, policy: Policy = LABOR, rules: list[Rule] | None = None, extra: Column | None = None, text: str = "text", wanted: tuple[str, ...] = ADDED) -> DataFrame:
+    """Adds redacted_text and occurrences to what ``detect`` adds, or those that are wanted."""
+    if taken := set(ADDED).intersection(segments.columns):
         raise ValueError(f"redact adds columns of these names, rename yours: {', '.join(sorted(taken))}")
-    out = D.detect(segments, policy, rules, extra, text)
-    out = S.pinned(out, _x=S.replaced(F.col(text), F.col("kept"), label_of(policy)))
-    return out.withColumns({"redacted_text": F.col("_x.text"), "occurrences": F.col("_x.occurrences")}).drop("_x")
+    return D.detect(segments, policy, rules, extra, text, wanted, labels_of(policy))
 
 
 def digests(redacted: DataFrame, text: str = "text") -> DataFrame:
@@ -65,8 +68,12 @@ def restore(redacted: DataFrame, strict: bool = False) -> DataFrame:
 
     Needs redacted_text, occurrences, redacted_sha256, source_sha256.
     """
-    text = S.restored(F.col("redacted_text"), F.col("occurrences"))
-    out = S.pinned(redacted, restored_text=text)
+
+    def back(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        yield from (B.restored(*x) for x in batches)
+
+    places = F.transform("occurrences", lambda o: F.struct(o["redacted_start"].alias("redacted_start"), o["redacted_end"].alias("redacted_end"), o["original"].alias("original")))
+    out = S.pinned(redacted, restored_text=F.arrow_udf(back, "string")(F.col("redacted_text"), places))
     status = (
         F.when(F.sha2("redacted_text", 256) != F.col("redacted_sha256"), "sha_mismatch")
         .when(F.sha2("restored_text", 256) != F.col("source_sha256"), "source_mismatch")
@@ -79,8 +86,7 @@ def restore(redacted: DataFrame, strict: bool = False) -> DataFrame:
 
 def residual(redacted: DataFrame, policy: Policy = LABOR, rules: list[Rule] | None = None, text: str = "redacted_text") -> DataFrame:
     """Adds findings (pattern rules only) and residual_passed."""
-    found = D.with_rule_spans(redacted.drop("spans"), rules, text)
-    out = S.pinned(found, findings=D.types_kept(F.col("spans"), policy)).drop("spans")
+    out = D.with_rule_spans(redacted.drop("spans", "findings"), rules, text, D.types_off(policy), "findings")
     return out.withColumn("residual_passed", F.size("findings") == 0)
 
 
@@ -90,7 +96,7 @@ def audit(redacted: DataFrame, doc: str, policy: Policy = LABOR) -> DataFrame:
     One pass: a row of findings and one an occurrence go into the same counts,
     combined before each shuffle.
     """
-    r = residual(redacted, policy).select(doc, "residual_passed", F.size("findings").alias("f"), F.posexplode_outer("occurrences").alias("pos", "o"))
+    r = residual(redacted.select(doc, "redacted_text", "occurrences"), policy).select(doc, "residual_passed", F.size("findings").alias("f"), F.posexplode_outer("occurrences").alias("pos", "o"))
     first = F.coalesce(F.col("pos"), F.lit(0)) == 0
     keys = [doc, F.col("o.entity_type").alias("t"), F.col("o.engine").alias("e")]
     seen = r.groupBy(*keys, F.col("o.original").alias("x")).agg(F.count("o").alias("n"), F.sum(F.when(first, F.col("f")).otherwise(0)).alias("f"), F.bool_and("residual_passed").alias("ok"))
@@ -129,8 +135,9 @@ def export(detected: DataFrame, style: str = "star", text: str = "text") -> Data
 
     Placeholders count every occurrence of a type in its document's text.
     """
-    if style == "star":
-        return detected.withColumn("exported_text", S.replaced(F.col(text), F.col("kept"), lambda s: M.star(s["text"], s["entity_type"]))["text"])
-    number = lambda s, i: F.size(F.filter(F.slice("kept", 1, i + 1), lambda o: o["entity_type"] == s["entity_type"]))
-    tagged = F.transform("kept", lambda s, i: S.changed(s, ord=number(s, i)))
-    return S.pinned(detected, _t=tagged).withColumn("exported_text", S.replaced(F.col(text), F.col("_t"), lambda s: M.placeholder(s["entity_type"], s["ord"]))["text"]).drop("_t")
+
+    def put(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        yield from (B.exported(*x, style) for x in batches)
+
+    spans = F.transform("kept", lambda s: F.struct(*(s[c].alias(c) for c in ("start", "end", "text", "entity_type"))))
+    return S.pinned(detected, exported_text=F.arrow_udf(put, "string")(F.col(text), spans))

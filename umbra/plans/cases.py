@@ -87,7 +87,7 @@ def export_span_union(spark, sf_dir):
 
 @query(_CTES + "SELECT line_id, string_agg(m, '|' ORDER BY length(m) DESC, s) AS texts FROM redactable GROUP BY line_id")
 def longest_original_first(spark, sf_dir):
-    d = S.pinned(D.detect(case_lines(spark, sf_dir)), k=F.col("kept")).where(F.size("k") > 0)
+    d = S.pinned(D.detect(case_lines(spark, sf_dir), wanted=("kept",)), k=F.col("kept")).where(F.size("k") > 0)
     return d.select("line_id", F.array_join(F.transform(C.longest_first(F.col("k")), lambda s: s["text"]), "|").alias("texts"))
 
 

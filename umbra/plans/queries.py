@@ -89,12 +89,12 @@ redacted AS (SELECT l.line_id, l.text, coalesce(string_agg(substring(l.text, pre
 """
 
 
-def _detected(spark, sf_dir, policy=LABOR):
-    return D.detect(case_lines(spark, sf_dir), policy)
+def _detected(spark, sf_dir, policy=LABOR, wanted="kept"):
+    return D.detect(case_lines(spark, sf_dir), policy, wanted=(wanted,))
 
 
 def _redacted(spark, sf_dir, policy=LABOR):
-    return R.digests(R.redact(case_lines(spark, sf_dir), policy))
+    return R.digests(R.redact(case_lines(spark, sf_dir), policy, wanted=("redacted_text", "occurrences")))
 
 
 def _long(df: DataFrame, col: str, key: str = "line_id") -> DataFrame:
@@ -122,13 +122,12 @@ def spans_by_rule(spark, sf_dir):
 
 @query(_CTES + f"SELECT {_COLS} FROM flagged WHERE is_kept")
 def resolve_overlaps(spark, sf_dir):
-    lines = D.detect(case_lines(spark, sf_dir), LABOR.with_overrides(force=LABOR.preserved - {"TIME"}))
-    return _long(lines, "kept")
+    return _long(_detected(spark, sf_dir, LABOR.with_overrides(force=LABOR.preserved - {"TIME"})), "kept")
 
 
 @query(_CTES + f"SELECT {_COLS} FROM flagged WHERE NOT is_kept")
 def discarded_spans(spark, sf_dir):
-    return _long(_detected(spark, sf_dir), "dropped")
+    return _long(_detected(spark, sf_dir, wanted="dropped"), "dropped")
 
 
 @query(_CTES + f"SELECT {_COLS} FROM redactable")
@@ -148,21 +147,21 @@ def policy_override(spark, sf_dir):
 
 @query(_CTES + f"SELECT {_COLS} FROM flagged f WHERE NOT is_kept AND entity_type <> 'MONEY' AND EXISTS (SELECT 1 FROM flagged k WHERE k.line_id = f.line_id AND k.is_kept AND k.entity_type = 'MONEY' AND k.s < f.e AND f.s < k.e)")
 def preserve_shadowing(spark, sf_dir):
-    d = D.with_rule_spans(case_lines(spark, sf_dir))
-    d = S.pinned(d, r=S.resolved(D.without_first_years(F.col("text"), F.col("spans"))))
-    hit = lambda s: F.exists("r.kept", lambda k: (k["entity_type"] == "MONEY") & S.overlaps(s, k))
-    return _long(d.withColumn("shadowed", F.filter("r.dropped", lambda s: (s["entity_type"] != "MONEY") & hit(s))), "shadowed")
+    d = D.detect(case_lines(spark, sf_dir), LABOR.with_overrides(force=["MONEY"]), wanted=("kept", "dropped"))
+    d = S.pinned(d, money=F.filter("kept", lambda k: k["entity_type"] == "MONEY"))
+    hit = lambda s: F.exists("money", lambda k: S.overlaps(s, k))
+    return _long(d.withColumn("shadowed", F.filter("dropped", lambda s: (s["entity_type"] != "MONEY") & hit(s))), "shadowed")
 
 
 @query(_CTES + "SELECT line_id, 'BANK_ACCOUNT' AS entity_type, CAST(s AS BIGINT) AS s_start, CAST(e AS BIGINT) AS s_end, m AS s_text FROM bank WHERE near")
 def bank_account_context(spark, sf_dir):
-    d = _detected(spark, sf_dir)
+    d = _detected(spark, sf_dir, wanted="spans")
     return _long(d.withColumn("b", F.filter("spans", lambda s: s["rule_id"] == "bank_account_context")), "b")
 
 
 @query(_CTES + "SELECT line_id, 'BANK_ACCOUNT' AS entity_type, CAST(s AS BIGINT) AS s_start, CAST(e AS BIGINT) AS s_end, m AS s_text FROM bank WHERE NOT near")
 def bare_digit_warnings(spark, sf_dir):
-    return _long(_detected(spark, sf_dir), "bare_numbers")
+    return _long(_detected(spark, sf_dir, wanted="bare_numbers"), "bare_numbers")
 
 
 @query(_CTES + "SELECT h.line_id, m AS s_text FROM hits h JOIN lines l USING (line_id) WHERE entity_type = 'MONEY' AND regexp_full_match(m, '(19|20)[0-9]{2}元') AND substring(text, e + 1, 1) = '年'")
@@ -606,7 +605,7 @@ def low_confidence_lines(spark, sf_dir):
 @query()
 def documents_redact(spark, sf_dir):
     """Whole documents with something redacted: counts and digests."""
-    r = R.digests(R.redact(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")))
+    r = R.digests(R.redact(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"), wanted=("redacted_text", "occurrences")))
     return r.where(F.size("occurrences") > 0).select("doc_id", F.size("occurrences").cast("long").alias("n"), "redacted_sha256")
 
 
@@ -628,11 +627,11 @@ def documents_by_type(spark, sf_dir):
 @query()
 def pages_redact(spark, sf_dir):
     p = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", F.col("html").alias("text"))
-    r = R.digests(R.redact(p))
+    r = R.digests(R.redact(p, wanted=("redacted_text", "occurrences")))
     return r.where(F.size("occurrences") > 0).select("page_id", F.size("occurrences").cast("long").alias("n"), "redacted_sha256")
 
 
 @query("SELECT conv_id, turn, sha256(text) AS redacted_sha256 FROM conversations")
 def conversations_redact(spark, sf_dir):
     c = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "text")
-    return R.digests(R.redact(c)).select("conv_id", "turn", "redacted_sha256")
+    return R.digests(R.redact(c, wanted=("redacted_text",))).select("conv_id", "turn", "redacted_sha256")
