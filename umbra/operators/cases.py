@@ -137,16 +137,17 @@ def batch(segments: DataFrame, doc: str, policy: Policy = LABOR, denylist: list[
     """A case: a row a document with its counts, checks and text; the text is null unless it may be published.
 
     Fails closed: a document with a failed check gives no text. ``warnings`` has
-    the first ``most``. One row a document comes in, one goes out.
+    the first ``most``. One row a document comes in, one goes out, judged where
+    it stands: nothing shuffles.
     """
-    red = R.digests(R.redact(segments, policy))
-    failed = G.checks(red, doc, policy, denylist).where("not passed").groupBy(doc).agg(F.array_sort(F.collect_list("check")).alias("failed_checks"))
-    out = red.join(failed, doc, "left").withColumn("failed_checks", F.coalesce("failed_checks", F.array().cast("array<string>")))
-    n = F.size(F.array_distinct(F.transform("occurrences", lambda o: F.struct(o["entity_type"], o["original"]))))
+    red = R.residual(R.redact(segments, policy, wanted=("dropped", "redacted_text", "occurrences", "n_entities")), policy)
+    none = F.array().cast("array<string>")
+    failed = F.concat(*(F.when(bad, F.array(F.lit(name))).otherwise(none) for name, bad, _ in sorted(G.tests(policy, denylist), key=lambda x: x[0])))
+    out = R.digests(S.pinned(red, failed_checks=failed))
     warned = F.transform(F.slice("dropped", 1, most), lambda s: F.substring(s["text"], 1, 20))
     released = F.size("failed_checks") == 0
     return out.select(
-        doc, n.cast("long").alias("n_entities"), F.size("occurrences").cast("long").alias("n_occurrences"), "failed_checks", released.alias("released"),
+        doc, F.col("n_entities").cast("long").alias("n_entities"), F.size("occurrences").cast("long").alias("n_occurrences"), "failed_checks", released.alias("released"),
         F.when(released, F.col("redacted_text")).alias("text"), F.when(released, F.col("redacted_sha256")).alias("redacted_sha256"), warned.alias("warnings"),
         F.date_format(F.to_utc_timestamp(F.current_timestamp(), F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("created_at"),
     )
