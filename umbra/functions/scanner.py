@@ -54,6 +54,12 @@ def _table(digits: list[int], spaces: list[int]) -> np.ndarray:
     return t
 
 
+def _objects(xs: list) -> np.ndarray:
+    out = np.empty(len(xs), object)
+    out[:] = xs
+    return out
+
+
 def _runs(mask: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Starts and ends of the stretches where the mask holds; its edges don't hold."""
     at = np.flatnonzero(mask[1:] != mask[:-1]) + 1
@@ -291,7 +297,7 @@ class Scanner:
         if at < len(texts):
             yield at, texts[at:]
 
-    def scan(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, list[str]]:
+    def scan(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """(line, pattern, start, end, text) of all matches: by line, then pattern, then place.
 
         A last pattern number, one beyond the patterns, has the numbers of 12 to 19 digits.
@@ -323,8 +329,8 @@ class Scanner:
             parts.append((line + first, k, s - begin, e - begin))
         if not parts:
             none = np.zeros(0, np.int64)
-            return none, none, none, none, []
-        return *(np.concatenate(x) for x in zip(*parts)), hits
+            return none, none, none, none, _objects([])
+        return *(np.concatenate(x) for x in zip(*parts)), _objects(hits)
 
 
 # ---- detection ----------------------------------------------------------------------------------
@@ -345,16 +351,18 @@ def _place(line: np.ndarray) -> np.ndarray:
 class Found:
     """Spans of a batch as columns; ``kinds`` are (entity_type, engine, rule_id, priority)."""
 
-    def __init__(self, kinds: list[tuple], line, kind, start, end, order, texts: list[str]):
+    def __init__(self, kinds: list[tuple], line, kind, start, end, order, texts: np.ndarray):
         self.kinds, self.line, self.kind, self.start, self.end, self.order, self.texts = kinds, line, kind, start, end, order, texts
 
     def take(self, index: np.ndarray) -> Found:
-        texts = self.texts
-        return Found(self.kinds, self.line[index], self.kind[index], self.start[index], self.end[index], self.order[index], [texts[i] for i in index.tolist()])
+        """The spans at these places, or where this mask holds."""
+        return Found(self.kinds, self.line[index], self.kind[index], self.start[index], self.end[index], self.order[index], self.texts[index])
 
     def with_(self, other: Found) -> Found:
         """Both, by line, these before the others."""
-        both = Found(self.kinds, *(np.concatenate([getattr(self, c), getattr(other, c)]) for c in ("line", "kind", "start", "end", "order")), self.texts + other.texts)
+        if not len(other.line):
+            return self
+        both = Found(self.kinds, *(np.concatenate([getattr(self, c), getattr(other, c)]) for c in ("line", "kind", "start", "end", "order", "texts")))
         return both.take(np.argsort(both.line, kind="stable"))
 
     def named(self, i: int) -> pa.Array:
@@ -450,7 +458,7 @@ class Detector:
         return f, room
 
     def rule_spans(self, f: Found) -> Found:
-        f = f.take(np.flatnonzero(f.kind < self.n_rules))
+        f = f.take(f.kind < self.n_rules)
         f.order = _place(f.line)
         return f
 
@@ -463,7 +471,7 @@ class Detector:
         f.kinds.extend(number_of)
         kind = [number_of[k] for k in named]
         number = lambda xs: np.array(list(xs), np.int64)
-        return Found(f.kinds, number(i for i, _ in rows), number(kind), *(number(s[c] for _, s in rows) for c in ("start", "end", "ord")), [s["text"] for _, s in rows])
+        return Found(f.kinds, number(i for i, _ in rows), number(kind), *(number(s[c] for _, s in rows) for c in ("start", "end", "ord")), _objects([s["text"] for _, s in rows]))
 
     def __call__(self, column: pa.Array, extra: pa.Array | None = None) -> pa.Array:
         texts = column.to_pylist()
@@ -472,22 +480,23 @@ class Detector:
         f = self.rule_spans(every)
         if self.plain:
             allowed = np.array([k[0] not in self.off for k in f.kinds], bool)
-            return f.take(np.flatnonzero(allowed[f.kind])).lists(n)
+            return f.take(allowed[f.kind]).lists(n)
         if extra is not None:
             given = self._given(f, extra)
             np.maximum.at(room, given.line, given.end + 1)
             f = f.with_(given)
         if self.account > self.n_rules:
-            dates = every.take(np.flatnonzero(every.kind == self.n_rules))
+            dates = every.take(every.kind == self.n_rules)
             dates.kinds, dates.order = f.kinds, self._last(f, n, -1)[dates.line] + 1 + _place(dates.line)
             f = f.with_(dates)
-        free = every.take(np.flatnonzero(every.kind == self.account))
-        free = free.take(np.flatnonzero(self._apart(free, f, room)))
+        free = every.take(every.kind == self.account)
+        free = free.take(self._apart(free, f, room))
         near = np.array([_BANK.search(texts[i], max(0, s - 30), e + 30) is not None for i, s, e in zip(free.line.tolist(), free.start.tolist(), free.end.tolist())], bool)
-        accounts, bare = free.take(np.flatnonzero(near)), free.take(np.flatnonzero(~near))
+        accounts, bare = free.take(near), free.take(~near)
         accounts.kinds, accounts.order = f.kinds, self._last(f, n, 0)[accounts.line] + 1 + _place(accounts.line)
         f = f.with_(accounts)
-        f = f.take(np.flatnonzero(~self._first_years(f, texts)))
+        years = self._first_years(f, texts)
+        f = f.take(~years) if years.any() else f
         yes, no = _resolved(f, room)
         allowed = np.array([k[0] not in self.off for k in f.kinds], bool)
         yes = yes[allowed[f.kind[yes]]]

@@ -113,10 +113,16 @@ def audit(redacted: DataFrame, doc: str, policy: Policy = LABOR) -> DataFrame:
 
 
 def engines(occ: DataFrame, doc: str) -> DataFrame:
-    """A row an entity: the engines that found it, distinct, in order of their first place."""
-    first = occ.groupBy(doc, "entity_type", "original", "engine").agg(F.min("pos").alias("p"))
-    listed = F.transform(F.array_sort(F.collect_list(F.struct("p", "engine"))), lambda x: x["engine"])
-    return first.groupBy(doc, "entity_type", "original").agg(listed.alias("engines"))
+    """A row an entity: the engines that found it, distinct, in order of their first place.
+
+    The first places are plain minima, combined before the shuffle; the few of
+    an entity are listed by a window, which doesn't build lists of all groups.
+    """
+    keys = [doc, "entity_type", "original"]
+    first = occ.groupBy(*keys, "engine").agg(F.min("pos").alias("p"))
+    own = Window.partitionBy(*keys).orderBy("p", "engine")
+    listed = F.collect_list(F.struct("engine")).over(own.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    return first.select(*keys, listed.alias("_x"), F.row_number().over(own).alias("_n")).where("_n = 1").select(*keys, F.col("_x.engine").alias("engines"))
 
 
 def warnings(redacted: DataFrame, doc: str) -> DataFrame:

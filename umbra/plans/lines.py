@@ -22,19 +22,19 @@ UNION ALL SELECT 'p' || cast(p_partkey AS string),
 
 #: The columns that lines are made of.
 COLUMNS = {"customer": ["c_custkey", "c_name"], "supplier": ["s_suppkey"], "orders": ["o_orderkey", "o_orderdate"], "part": ["p_partkey"]}
-_PART = 1 << 18
+_PART = 1 << 17
 
 
 def case_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The lines, in parts of like size: the tables' narrow rows are dealt, not their lines.
 
     A table is often one file with few splits, whatever its rows. Parts follow
-    the tables' sizes, two a core at least.
+    the tables' sizes, four a core at least.
     """
     tables = {n: spark.read.parquet(f"{sf_dir}/{n}.parquet").select(*c) for n, c in COLUMNS.items()}
     size = {n: max(1, int(str(t._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))) for n, t in tables.items()}
     total = sum(size.values())
-    parts = max(2 * spark.sparkContext.defaultParallelism, total // _PART)
+    parts = max(4 * spark.sparkContext.defaultParallelism, total // _PART)
     sql = LINES_SQL
     for n, t in tables.items():
         sql = sql.replace(f"FROM {n}", f"FROM {{{n}}}")
